@@ -5,22 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import mixing, sharding
+from quern.llm import langid, mixing, packing, sharding, tokencount, tokenfiles, topk
 from quern.llm.common import documents
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(documents(spark, sf_dir))
+    return found.select("doc_id", (~langid.is_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), payload=F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenfiles.round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sharding": op3_sharding, "op5_mixing": op5_mixing}
+    return {f.__name__: f for f in (op2_topk, op3_sharding, op4_langid, op5_mixing, op6_packing, op7_tokencount, op10_tokenfiles)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE}
+    return {"op2_topk": topk.ORACLE, "op5_mixing": mixing.ORACLE}
