@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, mixing, packing, sharding, tokencount, tokenfiles, topk
+from quern.llm import langid, minhash, mixing, packing, sharding, tokencount, tokenfiles, topk
 from quern.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -49,8 +53,8 @@ def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_topk, op3_sharding, op4_langid, op5_mixing, op6_packing, op7_tokencount, op10_tokenfiles)}
+    return {f.__name__: f for f in (op1_minhash, op2_topk, op3_sharding, op4_langid, op5_mixing, op6_packing, op7_tokencount, op10_tokenfiles)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE, "op5_mixing": mixing.ORACLE}
+    return {"op1_minhash": minhash.ORACLE, "op2_topk": topk.ORACLE, "op5_mixing": mixing.ORACLE}

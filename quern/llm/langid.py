@@ -2,7 +2,9 @@
 
 Per language, a raw-content zstandard dictionary is made of a bounded sample of labelled texts. A text is encoded
 whole, in blocks, once with every dictionary; the language whose dictionary gives the fewest bytes wins, and the
-text is rejected when the runner-up comes too close.
+text is rejected when the runner-up comes too close. Letters are lower-cased and all other ASCII becomes single
+spaces before encoding; a few zero bytes end each block, so that even the shortest text is stored as matches and
+literals and not as a raw block, which would cost the same in every language.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the fit: texts per language, bytes of each text and of a dictionary, languages.
-SAMPLE_TEXTS, SAMPLE_BYTES, DICT_BYTES, MAX_LANGUAGES = 400, 4096, 112 << 10, 64
-#: Bytes of text encoded at once, compression level, and the least lead (as a share) of an accepted text.
-BLOCK, LEVEL, MARGIN = 8192, 1, 0.01
+SAMPLE_TEXTS, SAMPLE_BYTES, DICT_BYTES, MAX_LANGUAGES = 400, 600, 112 << 10, 64
+#: Bytes of text encoded at once, compression level, shortest match, and the least lead (as a share) of an accepted text.
+BLOCK, LEVEL, MATCH, MARGIN = 2048, 3, 3, 0.01
+FILLER = bytes(32)
+LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 UNKNOWN = "und"
 
 
@@ -23,6 +27,10 @@ def is_training(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
 
 
+def normal(text: str) -> bytes:
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split())
+
+
 def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, text_bytes: int = SAMPLE_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """lang -> dictionary content, from ``labelled`` (doc_id, text, lang; rows with null text or lang are left out).
 
@@ -31,15 +39,14 @@ def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, text_bytes: int = SAMPLE
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(
-        "lang", "doc_id", F.substring(F.col("text").cast("binary"), 1, text_bytes).alias("b"))
+        "lang", "doc_id", F.substring("text", 1, text_bytes).alias("t"))
     some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts)
     out: dict[str, list[bytes]] = {}
-    for lang, b in some.orderBy("lang", "k").select("lang", "b").collect():  # texts * languages rows, a parameter
-        out.setdefault(lang, []).append(bytes(b))
+    for lang, t in some.orderBy("lang", "k").select("lang", "t").collect():  # texts * languages rows, a parameter
+        out.setdefault(lang, []).append(normal(t)[:text_bytes])
         if len(out) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # The end of a dictionary is the cheapest to refer to; texts are joined in hash order and cut to the bound.
-    return {k: b"\n".join(dict.fromkeys(v))[:dict_bytes] for k, v in out.items()}
+    return {k: b" ".join(dict.fromkeys(v))[:dict_bytes] for k, v in out.items()}
 
 
 class Model:
@@ -47,7 +54,7 @@ class Model:
         import zstandard as z
 
         self.block, self.langs = block, sorted(contents)
-        params = z.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
+        params = z.ZstdCompressionParameters.from_level(level, min_match=MATCH, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.by = []
         for lang in self.langs:
             d = z.ZstdCompressionDict(contents[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -55,7 +62,7 @@ class Model:
             self.by.append(z.ZstdCompressor(dict_data=d, compression_params=params).compress)
 
     def sizes(self, text: bytes) -> list[int]:
-        blocks = [text[i : i + self.block] for i in range(0, len(text), self.block)]
+        blocks = [text[i : i + self.block] + FILLER for i in range(0, len(text), self.block)]
         return [sum(len(f(b)) for b in blocks) for f in self.by]
 
 
@@ -86,7 +93,7 @@ def predict(docs: DataFrame, contents: dict[str, bytes], margin: float = MARGIN,
                 if not m.langs or t is None or not any(map(str.isalpha, t)):
                     lang.append(UNKNOWN), score.append(0.0), lead.append(0.0)
                     continue
-                sizes = m.sizes(t.encode("utf-8", "surrogatepass"))
+                sizes = m.sizes(normal(t))
                 first, *others = sorted(zip(sizes, m.langs))
                 lang.append(first[1])
                 lead.append((others[0][0] - first[0]) / others[0][0] if others else 1.0)
