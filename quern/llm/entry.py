@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, minhash, mixing, packing, sharding, suffixdedup, tokencount, tokenfiles, topk
+from quern.llm import langid, minhash, mixing, packing, quality, sharding, suffixdedup, tokencount, tokenfiles, topk
 from quern.llm.common import documents
 
 
@@ -51,13 +51,18 @@ def op8_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.assess(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokenfiles.round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_topk, op3_sharding, op4_langid, op5_mixing, op6_packing, op7_tokencount, op8_suffixdedup, op10_tokenfiles)}
+    return {f.__name__: f for f in (op1_minhash, op2_topk, op3_sharding, op4_langid, op5_mixing, op6_packing, op7_tokencount, op8_suffixdedup, op9_quality, op10_tokenfiles)}
 
 
 def oracle_sql() -> dict[str, str]:
