@@ -76,7 +76,8 @@ def predict(docs: DataFrame, contents: dict[str, bytes], margin: float = MARGIN,
     language first in code-point order, with margin 0, not accepted. With one language there is no runner-up: margin 1.
     score is 1 - the winner's bytes over the average of all languages', at least 0. ``lang`` is never read.
     """
-    names = ["doc_id", *keep]
+    names = list(dict.fromkeys(["doc_id", *keep]))
+    inputs = names if "text" in names else [*names, "text"]
     key = hash(tuple(sorted(contents.items())))
 
     def run(batches: Iterator) -> Iterator:
@@ -88,7 +89,7 @@ def predict(docs: DataFrame, contents: dict[str, bytes], margin: float = MARGIN,
         m = _MODELS[key]
         for b in batches:
             lang, score, lead = [], [], []
-            for text in b.column(b.num_columns - 1):
+            for text in b.column(inputs.index("text")):
                 t = text.as_py()
                 if not m.langs or t is None or not any(map(str.isalpha, t)):
                     lang.append(UNKNOWN), score.append(0.0), lead.append(0.0)
@@ -103,8 +104,8 @@ def predict(docs: DataFrame, contents: dict[str, bytes], margin: float = MARGIN,
                 [*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64()), pa.array([x > margin for x in lead], pa.bool_())],
                 names=[*names, "lang_pred", "score", "margin", "accepted"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in inputs])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(names)])
     return source.mapInArrow(run, f"{fields}, lang_pred string, score double, margin double, accepted boolean")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import stage
 
-MAX_TOKENS, END_ID = 1024, 2
+MAX_TOKENS, END_ID, BROADCAST_ROWS = 1024, 2, 200_000
 
 
 def best_two_fit(counts: dict[int, int], cap: int) -> list[tuple[dict[int, int], int]]:
@@ -130,11 +130,14 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
     documents of their own. Empty input gives no rows; other columns are ignored. Sequences are numbered from 0.
     """
     cut = stage(pieces(docs, tokenizer, max_tokens, end_id), "pieces")
-    per = cut.groupBy("_pid", "length").agg(F.count("*").alias("_n"))
+    per = stage(cut.groupBy("_pid", "length").agg(F.count("*").alias("_n")), "lengths")
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per.select("_pid", "length", F.coalesce(before, F.lit(0)).cast("long").alias("_before"))
     counts = {k: n for k, n in per.groupBy("length").agg(F.sum("_n")).collect()}  # at most max_tokens rows
     runs = plan(counts, max_tokens)
+    # A row per partition and length: sent to all tasks while small, else joined by shuffle.
+    if per.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     payload = F.col("ids") if payload is None else payload
     ranked = cut.select("doc_id", "piece", "start", "length", payload, "_pid", "_local").join(offsets, ["_pid", "length"])
     name = [c for c in ranked.columns if c not in ("doc_id", "piece", "start", "length", "_pid", "_local", "_before")][0]
@@ -144,6 +147,8 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
         import numpy as np
         import pyarrow as pa
 
+        if not runs:
+            return
         length, first, base, each, at = (np.array(x, dtype=np.int64) for x in zip(*runs))
         keys = (length << 44) + first
         for b in batches:

@@ -240,13 +240,14 @@ def removed(spans, n: int) -> list[tuple[int, int]]:
     return [(s, min(e, n)) for s, e in out]
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Columns doc_id, those of ``keep``, n_bytes, n_removed, n_spans, spans (array of start, end) and rest (the bytes that
     stay, binary); one row per row of ``docs``.
 
     Null text is empty. Texts below SIZE bytes lose nothing. A text that occurs twice and has SIZE bytes loses all of
     them, in every row; rows with a null or repeated doc_id are texts like others. A repeat inside one text counts.
-    What stays may end in the middle of a character: it is bytes. Empty input gives no rows.
+    What stays may end in the middle of a character: it is bytes, or with ``as_text`` a string without such halves.
+    Empty input gives no rows.
     """
     names = ["doc_id", *keep]
     spans = stage(marks(docs), "spans")
@@ -265,13 +266,14 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 cut = removed([(m["s"], m["e"]) for m in marked], len(x))
                 size.append(len(x)), cuts.append([{"s": s, "e": e} for s, e in cut]), gone.append(sum(e - s for s, e in cut))
                 ends = [0, *[k for c in cut for k in c], len(x)]
-                rest.append(b"".join(x[s:e] for s, e in zip(ends[::2], ends[1::2])))
+                left = b"".join(x[s:e] for s, e in zip(ends[::2], ends[1::2]))
+                rest.append(left.decode("utf-8", "ignore") if as_text else left)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(i) for i in range(len(names))], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array(cuts, span), pa.array(rest, pa.binary())],
+                [*[b.column(i) for i in range(len(names))], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array(cuts, span), pa.array(rest, pa.string() if as_text else pa.binary())],
                 names=[*names, "n_bytes", "n_removed", "n_spans", "spans", "rest"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(names)])
-    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, spans array<struct<s:int,e:int>>, rest binary")
+    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, spans array<struct<s:int,e:int>>, rest {'string' if as_text else 'binary'}")
 
 
 def brute_force(texts: list[str | None], size: int = SIZE) -> list[tuple[int, int, int, str]]:
