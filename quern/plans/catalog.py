@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import messages
+from quern.operators import messages, theta
 
-MODULES = (messages,)
+MODULES = (messages, theta)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["msg_classify"](spark, sf_dir)
+    return queries()["top_edges"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
