@@ -74,7 +74,8 @@ def msg_classify_group(spark, d):
 
 
 def msg_restrict(spark, d):
-    r = restrict(with_recipients(classified(spark, d).where("cls <> 'SHARED'")), social.users(spark, d).where("id % 3 <> 0"))
+    linked = social.explicit_edges(spark, d).select(F.explode(F.array("src", "dst")).alias("id"))
+    r = restrict(with_recipients(classified(spark, d).where("cls <> 'SHARED'")), social.users(spark, d).join(linked, "id", "left_semi"))
     return r.select("id", "sender", F.element_at("recipients", 1).alias("recipient"))
 
 
@@ -192,7 +193,7 @@ QUERIES = {
     "msg_classify_group": (msg_classify_group, sql("""SELECT cls, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' AND other <> sender THEN 'SHARED'
       WHEN len(list_filter(CASE WHEN event_type = 'view' THEN [other, k] ELSE [other] END, lambda x: x <> sender)) NOT BETWEEN 1 AND 1 THEN 'NON_ADDR' ELSE 'ADDR' END AS cls FROM messages) GROUP BY 1""")),
     "msg_restrict": (msg_restrict, sql("""SELECT m.id, m.sender, m.r AS recipient FROM (SELECT id, sender, CASE WHEN cls = 'ADDR' THEN other ELSE sender END AS r FROM classified WHERE cls <> 'SHARED') m
-      JOIN users u ON u.id = m.r AND u.id % 3 <> 0 LEFT JOIN (SELECT * FROM users WHERE id % 3 <> 0) s ON s.id = m.sender WHERE u.is_core OR coalesce(s.is_core, false)""")),
+      JOIN mb u ON u.id = m.r LEFT JOIN mb s ON s.id = m.sender WHERE u.is_core OR coalesce(s.is_core, false)""", "mb AS (SELECT * FROM users WHERE id IN (SELECT src FROM explicit_edges UNION SELECT dst FROM explicit_edges))")),
     "parent_sender": (parent_sender, sql("SELECT m.id, m.parent_id, p.sender AS parent_sender FROM messages m LEFT JOIN messages p ON p.id = m.parent_id WHERE m.parent_id IS NOT NULL AND m.ts >= TIMESTAMP '2024-01-08' AND m.ts < TIMESTAMP '2024-01-15'")),
     "recipients": (recipients, sql("SELECT sender, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS recipients FROM (SELECT DISTINCT sender, other FROM classified WHERE cls = 'ADDR') GROUP BY 1")),
     "user_adjacency": (user_adjacency, sql("SELECT id, count(dst) AS degree FROM users LEFT JOIN (SELECT src, dst FROM explicit_edges UNION SELECT dst, src FROM explicit_edges) e ON e.src = id GROUP BY 1")),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import messages, theta
+from quern.operators import graphs, messages, theta, windows
 
-MODULES = (messages, theta)
+MODULES = (messages, theta, windows, graphs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
