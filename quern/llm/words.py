@@ -13,8 +13,9 @@ import struct
 
 SPACED = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
-TAIL = re.compile(r"(.*?[^\W\d_])([.,;:!?#$%&*|()<>\-]+)", re.S)
-CACHE_WORDS = 250_000
+LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = ".,;:!?#$%&*|()<>-"
+CACHE_WORDS = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -25,7 +26,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers. Two generations bound its memory."""
+    """word -> its ids as little-endian unsigned 32-bit integers. Two generations bound its memory.
+
+    A run of Latin-1 letters is one unit of either pattern, so its ids are those of the library's model on that unit, and
+    punctuation after it is the next unit; the library's whole pipeline encodes all other words.
+    """
 
     def __init__(self, path: str, spaced: bool, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -50,20 +55,28 @@ class Words(dict):
         return got
 
     def new(self, word: str) -> bytes:
-        if self.spaced:
-            # A space and Latin letters are one unit of the library's pattern; punctuation after them is the next.
-            core = word[1:] if word[0] == " " else word
-            if core.isalpha() and max(core) < "ɐ":
-                ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-                return struct.pack(f"<{len(ids)}I", *ids)
-            if (m := TAIL.fullmatch(word)) and (c := m[1][1:] if m[1][0] == " " else m[1]).isalpha() and max(c) < "ɐ":
-                return self[m[1]] + self[m[2]]
+        if LATIN.fullmatch(word):
+            if not self.spaced:
+                word = word.lower()
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        head = word.rstrip(MARKS)
+        if len(head) < len(word) and LATIN.fullmatch(head):
+            return self[head] + self[word[len(head) :]]
         return self.whole(word)
 
     def ids(self, text: str) -> bytes:
         if ODD.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, SPACED.findall(text) if self.spaced else text.split()))
+        if self.spaced:
+            return b"".join(map(self.__getitem__, SPACED.findall(text)))
+        if "<|" not in text:
+            try:  # Latin-1 letters lower-case one by one, as the library does: fewer distinct words
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _WORDS: dict[str, Words] = {}
