@@ -187,8 +187,10 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    # Blocks of one segment go to one task, which reads its table once.
-    spread = blocks.repartition("file", "segment").sortWithinPartitions("file", "at")
+    # Blocks of one segment go to one task, which reads its table once. The index is small and the work is not: a given
+    # number of tasks keeps adaptive execution from joining them by the index's bytes.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.repartition(tasks, "file", "segment").sortWithinPartitions("file", "at")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
