@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import graphs, messages, theta, windows
+from quern.operators import graphs, messages, models, theta, windows
 
-MODULES = (messages, theta, windows, graphs)
+MODULES = (messages, theta, windows, graphs, models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
