@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import graphs, messages, models, neighbourhood, theta, windows
+from quern.operators import graphs, messages, models, neighbourhood, text, theta, windows
 
-MODULES = (messages, theta, windows, graphs, models, neighbourhood)
+MODULES = (messages, theta, windows, graphs, models, neighbourhood, text)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
