@@ -8,8 +8,9 @@ Within a source every document expects target / size copies. Along (size, doc_id
 offset of the source cross integer boundaries; a document is emitted once per boundary crossed. Ordering by size
 makes neighbours alike, so the words taken differ from the target by about one document at most.
 
-Ranks within a source are exact at any size: a source is cut into cells of size order, the cells are counted, and
-only a cell is ever sorted in one task, so a source with a third of all rows is spread over many tasks.
+Ranks within a source are exact at any size: rows go to ranges of (source, size, doc_id) that are balanced by rows, so a
+source with a third of all rows is spread over many tasks; a row's rank is its place in its range plus the counts of the
+source in the ranges before, a table of one row per range and source.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import n_words, stage
+from quern.llm.common import drop_staged, n_words, stage
 
-WEIGHTS, MOST, CELL_ROWS = (5, 2, 1), 3, 1_000_000
+WEIGHTS, MOST, BROADCAST_ROWS, SALT = (5, 2, 1), 3, 200_000, 64
 
 
 def offset(source: Column) -> Column:
@@ -61,20 +62,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, k
     # One row per source; written so that both joins below read it and not the documents.
     goal = stage(targets(per.select("source", "source_size"), weights, most).join(per.select(F.col("source").alias("_s"), "_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets")
 
-    # Cells in size order: sizes share a cell by their leading bits; equal sizes of a hot source split by doc_id hash,
-    # in as many parts as the cell needs, so no task sorts more than about CELL_ROWS rows.
-    cell = F.when(F.col("size") < 64, F.col("size")).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 16) + 64).cast("int")
-    sized = sized.withColumn("_cell", cell)
-    counts = sized.groupBy("source", "_cell").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = counts.select("source", "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("source", "_cell").orderBy("size", "doc_id"))
-    ranked = sized.withColumn("_r", rank)
-    c, g = cells.select(F.col("source").alias("_s"), F.col("_cell").alias("_c"), "_before"), goal.select(F.col("source").alias("_s"), "source_size", "target")
-    ranked = ranked.join(c, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c"))).drop("_s", "_c")
-    ranked = ranked.join(g, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # A salt is the last key, so even a row that is repeated very often doesn't fill one range.
+    order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"), F.col("_salt")]
+    salted = sized.withColumn("_salt", F.monotonically_increasing_id() % SALT)
+    ranged = salted.repartitionByRange(*order).sortWithinPartitions(*order).drop("_salt").withColumn("_at", F.monotonically_increasing_id())
+    ranged = stage(ranged, "ranged")  # _at is (range, place) from here on
+    drop_staged(sized)
+    pid = F.shiftright("_at", 33)
+    spans = ranged.groupBy(pid.alias("_pid"), "source").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    spans = stage(spans.select("_pid", F.col("source").alias("_s"), "_first", F.coalesce(before, F.lit(0)).alias("_before")), "spans")
+    g = goal.select(F.col("source").alias("_s"), "source_size", "target")
+    spans = spans.join(g.withColumnRenamed("_s", "_g"), F.col("_s").eqNullSafe(F.col("_g"))).drop("_g")
+    if spans.count() <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
+    ranked = ranged.withColumn("_p", pid)
+    ranked = ranked.join(spans, (F.col("_p") == F.col("_pid")) & F.col("source").eqNullSafe(F.col("_s")))
+    ranked = ranked.withColumn("_k", F.col("_at") - F.col("_first") + F.col("_before") + 1)
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    k, u = (F.col("_r") + F.col("_before")).cast("double"), offset(F.col("source"))
+    k, u = F.col("_k").cast("double"), offset(F.col("source"))
     copies = (F.floor(k * e + u) - F.floor((k - 1) * e + u)).cast("long")
     return ranked.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
 
