@@ -23,12 +23,17 @@ SLOTS, VNODES, CELL_ROWS, COPIES_SALT = 4096, 64, 1_000_000, 16
 
 
 def ring(shards: int, vnodes: int = VNODES, slots: int = SLOTS) -> list[int]:
-    """The shard of each slot. A shard's points depend on its number alone, so one more shard only adds points."""
+    """The shard of each slot. Points are placed in order of shards, a taken slot's in the next free one, so each shard has
+    all its points and one more shard only adds points."""
+    if shards * vnodes > slots:
+        raise ValueError(f"{shards} x {vnodes} points don't fit {slots} slots")
     owner: dict[int, int] = {}
     for s in range(shards):
         for v in range(vnodes):
             at = int.from_bytes(hashlib.md5(f"shard {s} point {v}".encode()).digest()[:8], "big") % slots
-            owner.setdefault(at, s)
+            while at in owner:
+                at = (at + 1) % slots
+            owner[at] = s
     out, last = [0] * slots, owner[min(owner)]
     for i in range(slots - 1, -1, -1):
         last = owner.get(i, last)
