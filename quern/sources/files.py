@@ -86,7 +86,7 @@ def write_results(df: DataFrame, path: str) -> None:
 
 def encode_sequence(complete: Column, deltas: Column) -> Column:
     """Gaps of at most three decimals joined by ;, led by -1 if the sequence lacks its start."""
-    text = F.transform(deltas, lambda x: F.regexp_replace(F.format_number(x, "0.###"), r"\.0+$", ""))
+    text = F.transform(deltas, lambda x: F.regexp_replace(F.call_function("format_number", x, F.lit("0.###")), r"\.0+$", ""))
     return F.array_join(F.when(complete, text).otherwise(F.concat(F.array(F.lit("-1")), text)), ";")
 
 
