@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
 from quern.functions import vectors as V
-from quern.operators.messages import ADDR, classified, epoch
+from quern.operators.messages import classified, epoch
 from quern.operators.tables import cut
 from quern.operators.theta import change_series, weekly_theta
 from quern.operators.windows import inter_event
