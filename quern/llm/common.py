@@ -17,7 +17,26 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker: bounds both sides' buffers whatever the texts' lengths.
+BATCH_BYTES = 4 << 20
+_CACHES: dict[str, object] = {}
+
+
+def worker_cache(name: str, build):
+    """What a Python worker keeps from task to task, one thing at a time: another operator's cache goes first."""
+    if name not in _CACHES:
+        _CACHES.clear()
+        _CACHES[name] = build()
+    return _CACHES[name]
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -37,6 +56,7 @@ def staged_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = staged_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -57,7 +77,3 @@ def drop_staged(*dfs: DataFrame) -> None:
 def n_words(text: Column) -> Column:
     """Number of words, null text: 0. ``regexp_count`` walks the text once and builds no array in the plan."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def fold(mod: Column, parts: int) -> Column:
-    return F.pmod(mod, F.lit(parts))

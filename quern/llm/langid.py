@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import worker_cache
+
 #: Bounds of the fit: texts per language, bytes of each text and of a dictionary, languages.
 SAMPLE_TEXTS, SAMPLE_BYTES, DICT_BYTES, MAX_LANGUAGES = 400, 600, 112 << 10, 64
 #: Bytes of text encoded at once, compression level, shortest match, and the least lead (as a share) of an accepted text.
@@ -24,7 +26,8 @@ UNKNOWN = "und"
 
 
 def is_training(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
+    """Whether the crc32 of doc_id as text leaves another remainder than 1 by 3; a null doc_id leaves none and is one to learn from."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1, F.lit(True))
 
 
 def normal(text: str) -> bytes:
@@ -66,9 +69,6 @@ class Model:
         return [sum(len(f(b)) for b in blocks) for f in self.by]
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def predict(docs: DataFrame, contents: dict[str, bytes], margin: float = MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns doc_id, lang_pred, score, margin, accepted and those of ``keep``; one row per row of ``docs``.
 
@@ -83,10 +83,7 @@ def predict(docs: DataFrame, contents: dict[str, bytes], margin: float = MARGIN,
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(contents)
-        m = _MODELS[key]
+        m = worker_cache(f"language {key}", lambda: Model(contents))
         for b in batches:
             lang, score, lead = [], [], []
             for text in b.column(inputs.index("text")):

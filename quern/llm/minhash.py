@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import drop_staged, stage
+from quern.llm.common import drop_staged, stage, worker_cache
 from quern.llm.graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
         from quern.llm import hashing as H
 
-        mult, add = functions()
+        mult, add = worker_cache("minhash", functions)
         for b in batches:
             data, offs = H.text_bytes(b.column(1))
             for i, j in H.slices(offs):
@@ -233,9 +233,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept (doc_id = component_id); a row per row of ``docs``.
 
     Words are runs of non-space bytes, A-Z lower-cased. Null and blank texts have an empty set and link with nothing:
-    their component is their own. Equal sets are linked whatever their length. Rows of null doc_id belong to their
-    text's component, which is named by other rows; they are kept only if it has no name (component_id null). Rows that
-    repeat a doc_id are all kept or all not, each by its own text. Empty input gives no rows.
+    their component is their own. Equal sets are linked whatever their length. Rows of null doc_id belong to the
+    component of the rows with an equal set, which those name; a set that only such rows have is linked with no other, its
+    component_id is null and its rows are kept. Rows that repeat a doc_id are all kept or all not, each by its own text.
+    Empty input gives no rows.
     """
     sigs = stage(signatures(docs, shingle), "signatures")
     full = sigs.where(F.col("k1").isNotNull())

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import drop_staged, stage
+from quern.llm.common import drop_staged, stage, worker_cache
 
 SIZE, K, BLOCK, HOT, BITMAP = 400, 32, 48, 2000, 1 << 22
 REACH = SIZE - K  # most bytes of a window before its anchor
@@ -66,6 +66,7 @@ def text_runs(docs: DataFrame) -> DataFrame:
 
         from quern.llm import hashing as H
 
+        worker_cache("suffix", lambda: True)
         for b in batches:
             data, offs = H.text_bytes(b.column(1))
             for i, j in H.slices(offs):

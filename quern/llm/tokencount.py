@@ -17,6 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import worker_cache
+
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}[^{SPACE}]*")
 CACHE_WORDS = 300_000
@@ -79,13 +81,8 @@ class Counter(dict):
         return sum(n), float(sum(score))
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(vocabulary(path))
-    return _COUNTERS[path]
+    return worker_cache(f"unigram {path}", lambda: Counter(vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:

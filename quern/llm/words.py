@@ -8,14 +8,17 @@ to the library whole.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 
+from quern.llm.common import worker_cache
+
 SPACED = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = ".,;:!?#$%&*|()<>-"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -79,15 +82,12 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def words(path: str) -> Words:
     """The cache of this worker for a tokenizer file."""
-    if path not in _WORDS:
-        import json
 
+    def build() -> Words:
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)["pre_tokenizer"]["type"]
-        _WORDS[path] = Words(path, spaced=kind == "ByteLevel")
-    return _WORDS[path]
+        return Words(path, spaced=kind == "ByteLevel")
+
+    return worker_cache(f"words {path}", build)
