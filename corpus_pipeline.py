@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid, minhash, mixing, packing, suffixdedup
-from quern.llm.common import documents, stage
+from quern.llm.common import WORD, documents, stage
 from quern.llm.entry import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup; documents that were repeats throughout have no text left and go."""
-    found = suffixdedup.dedup(docs, keep=("lang", "source"), as_text=True).where("n_bytes = 0 OR n_removed < n_bytes")
+    """Suffix-array dedup of passages of over 50 words; documents that were repeats throughout have no word left and go."""
+    found = suffixdedup.dedup(docs, keep=("lang", "source"), as_text=True, window=suffixdedup.WORDS).where((F.col("n_removed") == 0) | F.col("rest").rlike(WORD))
     return found.select("doc_id", F.col("rest").alias("text"), "lang", "source", F.length("rest").cast("long").alias("n_chars"))
 
 

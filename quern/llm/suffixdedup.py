@@ -1,12 +1,13 @@
-"""Removal of every byte covered by a SIZE-byte string that starts at another place of the corpus too.
+"""Removal of every byte covered by a window of fixed length that starts at another place of the corpus too.
 
-Equal strings are brought together by content: a window of SIZE bytes is owned by its anchor, the leftmost of its
-K-byte strings of lowest hash, so equal windows have equal anchors at equal distances. Consecutive windows with one
+A window is a number of symbols: bytes (BYTES, the contract of op8), or whole words whatever space is between them
+(WORDS, which every passage of over 50 words reaches). Equal windows are brought together by content: a window is owned
+by its anchor, the leftmost of its k-symbol strings of lowest hash, so equal windows have equal anchors at equal distances. Consecutive windows with one
 anchor are a run. Runs whose whole region (all their windows' bytes) occurs twice are repeated outright. Anchors with
-several different regions are decided by suffix arrays: each region is a sequence of BLOCK-byte blocks on a grid fixed to
+several different regions are decided by suffix arrays: each region is a sequence of blocks of symbols on a grid fixed to
 the anchor, a bucket's sequences are sorted by the linear Lyndon grouping of ``suffixarray``, and suffixes that share
-WHOLE blocks, which any two equal windows do, are one interval of the array. Only inside an interval are the windows
-themselves compared, by 64-bit hashes of all their bytes. Texts are never cut, and matches never cross texts.
+as many blocks as lie whole in any window, which any two equal windows do, are one interval of the array. Only inside an interval are the windows
+themselves compared, by 64-bit hashes of all their symbols. Texts are never cut, and matches never cross texts.
 
 Anchors with more than HOT different regions don't fit a task's suffix array: their windows are counted by hash in a
 grouped aggregation, combined before the shuffle, with the same result.
@@ -16,29 +17,82 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import drop_staged, stage, worker_cache
 
-SIZE, K, BLOCK, HOT, BITMAP = 400, 32, 48, 2000, 1 << 22
-REACH = SIZE - K  # most bytes of a window before its anchor
-BLOCKS = (2 * REACH + K) // BLOCK
-WHOLE = (SIZE - BLOCK + 1) // BLOCK  # blocks that lie wholly inside any window
+SIZE, HOT, BITMAP = 400, 2000, 1 << 22
 
 
-def runs(data, offs):
-    """(text, first window, number of windows, anchor, anchor hash, region hash) of each run of texts at ``offs``."""
+@dataclass(frozen=True)
+class Window:
+    """``size`` symbols, anchors of ``k`` and blocks of ``block`` symbols; symbols are bytes or, with ``words``, words."""
+
+    size: int
+    k: int
+    block: int
+    words: bool = False
+
+    @property
+    def reach(self) -> int:
+        """Most symbols of a window before its anchor."""
+        return self.size - self.k
+
+    @property
+    def blocks(self) -> int:
+        return (2 * self.reach + self.k) // self.block
+
+    @property
+    def whole(self) -> int:
+        """Blocks that lie wholly inside any window."""
+        return (self.size - self.block + 1) // self.block
+
+    @property
+    def least(self) -> int:
+        """Fewest bytes of a text that has a window: a word and the space before the next are two at least."""
+        return 2 * self.size - 1 if self.words else self.size
+
+
+BYTES, WORDS = Window(SIZE, 32, 48), Window(51, 5, 6, words=True)
+
+
+def symbols(data, offs, window: Window):
+    """(symbols, offsets of the texts among them, first byte and end of each symbol) of texts at ``offs``; for bytes the last two are None."""
+    from quern.llm import hashing as H
+
+    if not window.words:
+        return data, offs, None, None
+    start, end, h, first = H.words(data, offs)
+    return h, first, start, end
+
+
+def prefix(x):
+    """As hashing.prefix, of bytes or of words' hashes."""
+    import numpy as np
+
+    from quern.llm import hashing as H
+
+    if x.dtype == np.uint8:
+        return H.prefix(x)
+    c = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * H.powers(len(x) + 1)[0][: len(x)], out=c[1:])
+    return c
+
+
+def runs(data, offs, window: Window):
+    """(text, first window, number of windows, anchor, anchor hash, region hash) of each run of texts at ``offs``, in symbols."""
     import numpy as np
 
     from quern.llm import hashing as H
 
-    U, n = np.uint64, len(data)
+    U, n, SIZE, K = np.uint64, len(data), window.size, window.k
     none = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, U)] * 2
     if n < SIZE:
         return none
-    c = H.prefix(data)
+    c = prefix(data)
     width = SIZE - K + 1
     h = H.mix(H.spans(c, np.arange(n - K + 1), np.arange(K, n + 1)))
     key = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U)
@@ -57,8 +111,9 @@ def runs(data, offs):
     return t, lo, hi - lo + 1, p, h[p], region
 
 
-def text_runs(docs: DataFrame) -> DataFrame:
-    """t (the text's md5), lo, n, off (anchor - lo), a, r: the runs of every row's text."""
+def text_runs(docs: DataFrame, window: Window) -> DataFrame:
+    """t (the text's md5), s and z (the region's first byte and size in bytes), n, off (anchor - first window, in symbols), a, r:
+    the runs of every row's text."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -70,30 +125,35 @@ def text_runs(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, offs = H.text_bytes(b.column(1))
             for i, j in H.slices(offs):
-                t, lo, n, p, a, r = runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                x, at, start, end = symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window)
+                t, lo, n, p, a, r = runs(x, at, window)
+                first, last = lo, lo + n - 1 + window.size
+                if window.words:
+                    first, last = start[lo], end[last - 1]
                 base = (offs[i:j] - offs[i])[t]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(t + i)), pa.array((lo - base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((p - lo).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(r.view(np.int64))],
-                    names=["t", "lo", "n", "off", "a", "r"])
+                    [b.column(0).take(pa.array(t + i)), *(pa.array(v.astype(np.int32)) for v in (first - base, last - first, n, p - lo)), pa.array(a.view(np.int64)), pa.array(r.view(np.int64))],
+                    names=["t", "s", "z", "n", "off", "a", "r"])
 
-    long = docs.where(F.octet_length("text") >= SIZE).select(F.unhex(F.md5("text")).alias("t"), "text")
-    return long.mapInArrow(run, "t binary, lo int, n int, off int, a long, r long")
+    long = docs.where(F.octet_length("text") >= window.least).select(F.unhex(F.md5("text")).alias("t"), "text")
+    return long.mapInArrow(run, "t binary, s int, z int, n int, off int, a long, r long")
 
 
-def shared_windows(regions: list, n, off, buckets: list[tuple[int, int]]):
+def shared_windows(regions: list, n, off, buckets: list[tuple[int, int]], window: Window):
     """Per region a boolean per window: does it equal a window, at the same distance from its anchor, of another region
-    of its bucket? ``buckets`` are ranges of regions; all arrays are numpy."""
+    of its bucket? ``buckets`` are ranges of regions; all arrays are numpy, regions of symbols."""
     import numpy as np
 
     from quern.llm import hashing as H
     from quern.llm.suffixarray import suffix_array
 
     U = np.uint64
+    SIZE, BLOCK, REACH, BLOCKS, WHOLE = window.size, window.block, window.reach, window.blocks, window.whole
     flags = [np.zeros(int(k), bool) for k in n]
     size = np.array([len(x) for x in regions])
     begin = np.concatenate(([0], np.cumsum(size)))
     data = np.concatenate(regions)
-    c = H.prefix(data)
+    c = prefix(data)
     # Blocks on the grid of each region: from anchor - REACH on; one that sticks out of its region is unlike any other.
     grid = begin[:-1, None] + np.asarray(off)[:, None] - REACH + BLOCK * np.arange(BLOCKS)[None, :]
     whole = (grid >= begin[:-1, None]) & (grid + BLOCK <= begin[1:, None])
@@ -119,9 +179,9 @@ def shared_windows(regions: list, n, off, buckets: list[tuple[int, int]]):
     region, block, group = np.concatenate(ask, axis=1)
     if not len(region):
         return flags
-    # The windows whose first whole block is this one: they start in the BLOCK bytes up to it.
+    # The windows whose first whole block is this one: they start in the BLOCK symbols up to it.
     step = np.arange(-BLOCK + 1, 1)
-    at = block[:, None] * BLOCK + step[None, :] - REACH + np.asarray(off)[region][:, None]  # first byte within the region
+    at = block[:, None] * BLOCK + step[None, :] - REACH + np.asarray(off)[region][:, None]  # first symbol within the region
     fine = (at >= 0) & (at < np.asarray(n)[region][:, None])
     row, col = np.nonzero(fine)
     where = at[row, col]
@@ -142,22 +202,31 @@ def bounds(flags):
     return edge[::2], edge[1::2]
 
 
-def decide(regions: DataFrame) -> DataFrame:
-    """a, r, first, end: the repeated windows of each region, from a, r, n, off, bytes of all regions of an anchor."""
+def region_symbols(x, window: Window):
+    """(symbols, first byte and end of each) of a region's bytes."""
+    import numpy as np
+
+    data = np.frombuffer(x.as_buffer(), np.uint8)
+    syms, _, start, end = symbols(data, np.array([0, len(data)]), window)
+    return (syms, start, end) if window.words else (syms, np.arange(len(data)), np.arange(1, len(data) + 1))
+
+
+def decide(regions: DataFrame, window: Window) -> DataFrame:
+    """a, r, first, end: bytes of each region that its repeated windows cover, from a, r, n, off, bytes of all regions of an anchor."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         held: list[tuple] = []
 
         def flush(rows):
             cut = [0, *[k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]], len(rows)]
-            flags = shared_windows([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], list(zip(cut[:-1], cut[1:])))
+            syms = [region_symbols(r[4], window) for r in rows]
+            flags = shared_windows([x[0] for x in syms], [r[2] for r in rows], [r[3] for r in rows], list(zip(cut[:-1], cut[1:])), window)
             a, r, first, end = [], [], [], []
-            for row, f in zip(rows, flags):
+            for row, f, (_, begins, ends) in zip(rows, flags, syms):
                 for x, y in zip(*bounds(f)):
-                    a.append(row[0]), r.append(row[1]), first.append(int(x)), end.append(int(y))
+                    a.append(row[0]), r.append(row[1]), first.append(int(begins[x])), end.append(int(ends[y - 2 + window.size]))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["a", "r", "first", "end"])
 
         for b in batches:
@@ -166,14 +235,14 @@ def decide(regions: DataFrame) -> DataFrame:
                 if len(held) >= 1024 and held[-1][0] != a:
                     yield flush(held)
                     held = []
-                held.append((a, r, n, off, np.frombuffer(x.as_buffer(), np.uint8)))
+                held.append((a, r, n, off, x))
         if held:
             yield flush(held)
 
     return regions.repartition("a").sortWithinPartitions("a", "r").select("a", "r", "n", "off", "bytes").mapInArrow(run, "a long, r long, first int, end int")
 
 
-def count_windows(regions: DataFrame) -> DataFrame:
+def count_windows(regions: DataFrame, window: Window) -> DataFrame:
     """As ``decide``, for anchors of very many regions: counts windows by hash, combined before the shuffle."""
 
     def explode(batches: Iterator) -> Iterator:
@@ -184,38 +253,42 @@ def count_windows(regions: DataFrame) -> DataFrame:
 
         for b in batches:
             for a, r, n, off, x in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
-                c = H.prefix(np.frombuffer(x.as_buffer(), np.uint8))
+                syms, begins, ends = region_symbols(x, window)
+                c = prefix(syms)
                 w = np.arange(n)
-                key = H.mix(H.spans(c, w, w + SIZE) + H.mix((off - w + np.int64(1 << 20)).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, r)), pa.array(w.astype(np.int32)), pa.array(key.view(np.int64))], names=["a", "r", "w", "k"])
+                key = H.mix(H.spans(c, w, w + window.size) + H.mix((off - w + np.int64(1 << 20)).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, a)), pa.array(np.full(n, r)), pa.array(begins[w].astype(np.int32)), pa.array(ends[w + window.size - 1].astype(np.int32)), pa.array(key.view(np.int64))],
+                    names=["a", "r", "first", "end", "k"])
 
-    windows = regions.select("a", "r", "n", "off", "bytes").mapInArrow(explode, "a long, r long, w int, k long")
+    windows = regions.select("a", "r", "n", "off", "bytes").mapInArrow(explode, "a long, r long, first int, end int, k long")
     twice = windows.groupBy("a", "k").agg(F.count("*").alias("c")).where("c > 1").select("a", "k")
-    return windows.join(twice, ["a", "k"]).select("a", "r", F.col("w").alias("first"), (F.col("w") + 1).alias("end"))
+    return windows.join(twice, ["a", "k"]).select("a", "r", "first", "end")
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """t (a text's md5) and spans (array of start, end): bytes to remove; texts without any are left out."""
-    found = stage(text_runs(docs), "runs")
-    classes = found.groupBy("a", "r").agg(F.count("*").alias("c"), F.min(F.struct("t", "lo", "n", "off")).alias("own"))
+def marks(docs: DataFrame, window: Window = BYTES) -> DataFrame:
+    """t (a text's md5) and spans (array of start, end): bytes to remove; texts without any are left out. A staged table."""
+    found = stage(text_runs(docs, window), "runs")
+    classes = found.groupBy("a", "r").agg(F.count("*").alias("c"), F.min(F.struct("t", "s", "z", "n", "off")).alias("own"))
     anchors = found.groupBy("a").agg(F.count("*").alias("s")).where("s > 1").select("a")
     classes = stage(classes.join(anchors, "a"), "classes")
     sizes = classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
-    full = found.join(classes.where("c > 1").select("a", "r"), ["a", "r"]).select("t", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + SIZE).alias("e"))
+    full = found.join(classes.where("c > 1").select("a", "r"), ["a", "r"]).select("t", "s", (F.col("s") + F.col("z")).alias("e"))
 
     # The bytes of one region per class, from the text that owns it.
-    owners = classes.join(sizes, "a").select("a", "r", "k", "own.*").groupBy("t").agg(F.collect_list(F.struct("a", "r", "k", "lo", "n", "off")).alias("ask"))
+    owners = classes.join(sizes, "a").select("a", "r", "k", "own.*").groupBy("t").agg(F.collect_list(F.struct("a", "r", "k", "s", "z", "n", "off")).alias("ask"))
     t = F.unhex(F.md5("text"))
-    long = docs.where(F.octet_length("text") >= SIZE).select(t.alias("t"), "text")
+    long = docs.where(F.octet_length("text") >= window.least).select(t.alias("t"), "text")
     owning = only(long, owners, "t").groupBy("t").agg(F.first("text").alias("text"))
 
     asked = owning.join(owners, "t").select(F.col("text").cast("binary").alias("b"), F.explode("ask").alias("q"))
-    regions = stage(asked.select("q.a", "q.r", "q.k", "q.n", "q.off", F.col("b").substr(F.col("q.lo") + 1, F.col("q.n") - 1 + SIZE).alias("bytes")), "regions")
-    some = decide(regions.where(F.col("k") <= HOT)).unionByName(count_windows(regions.where(F.col("k") > HOT)))
+    regions = stage(asked.select("q.a", "q.r", "q.k", "q.n", "q.off", F.col("b").substr(F.col("q.s") + 1, F.col("q.z")).alias("bytes")), "regions")
+    some = decide(regions.where(F.col("k") <= HOT), window).unionByName(count_windows(regions.where(F.col("k") > HOT), window))
     # Regions of a class that is repeated outright are marked already.
-    once = classes.where("c = 1").select("a", "r", "own.t", "own.lo")
-    part = some.join(once, ["a", "r"]).select("t", (F.col("lo") + F.col("first")).alias("s"), (F.col("lo") + F.col("end") - 1 + SIZE).alias("e"))
-    spans = full.unionByName(part).groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    once = classes.where("c = 1").select("a", "r", "own.t", "own.s")
+    part = some.join(once, ["a", "r"]).select("t", (F.col("s") + F.col("first")).alias("s"), (F.col("s") + F.col("end")).alias("e"))
+    spans = stage(full.unionByName(part).groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    drop_staged(found, classes, regions)
     return spans
 
 
@@ -241,17 +314,17 @@ def removed(spans, n: int) -> list[tuple[int, int]]:
     return [(s, min(e, n)) for s, e in out]
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, window: Window = BYTES) -> DataFrame:
     """Columns doc_id, those of ``keep``, n_bytes, n_removed, n_spans, spans (array of start, end) and rest (the bytes that
     stay, binary); one row per row of ``docs``.
 
-    Null text is empty. Texts below SIZE bytes lose nothing. A text that occurs twice and has SIZE bytes loses all of
-    them, in every row; rows with a null or repeated doc_id are texts like others. A repeat inside one text counts.
+    Null text is empty. Texts of no whole window lose nothing. A text that occurs twice and has one loses all its bytes (all its
+    words, and the space between them), in every row; rows with a null or repeated doc_id are texts like others. A repeat inside one text counts.
     What stays may end in the middle of a character: it is bytes, or with ``as_text`` a string without such halves.
     Empty input gives no rows.
     """
     names = ["doc_id", *keep]
-    spans = stage(marks(docs), "spans")
+    spans = marks(docs, window)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.cast("binary").alias("_b"), F.unhex(F.md5(text)).alias("t"))
     joined = rows.join(spans, "t", "left").select(*names, "_b", "spans")
@@ -294,4 +367,17 @@ def brute_force(texts: list[str | None], size: int = SIZE) -> list[tuple[int, in
     return out
 
 
-__all__ = ["brute_force", "dedup", "drop_staged", "marks"]
+def brute_force_words(texts: list[str | None], size: int = WORDS.size) -> list[list[tuple[int, int]]]:
+    """The spans of bytes to remove of each text, from a table of all runs of ``size`` words."""
+    import re
+
+    found = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    seen: dict[tuple, int] = {}
+    for w in found:
+        for i in range(len(w) - size + 1):
+            k = tuple(x[2] for x in w[i : i + size])
+            seen[k] = seen.get(k, 0) + 1
+    return [removed([(w[i][0], w[i + size - 1][1]) for i in range(len(w) - size + 1) if seen[tuple(x[2] for x in w[i : i + size])] > 1], len((t or "").encode())) for t, w in zip(texts, found)]
+
+
+__all__ = ["BYTES", "WORDS", "Window", "brute_force", "brute_force_words", "dedup", "drop_staged", "marks"]

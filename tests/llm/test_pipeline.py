@@ -43,3 +43,30 @@ def test_stages(spark, corpus):
 
 def test_run(spark, corpus):
     assert P.run(spark, corpus[0]).count() > 0
+
+
+def test_repeats_of_51_words(spark):
+    """Passages are counted in words: 51 short ones go, whatever space is between them, 50 long ones stay."""
+    rng = random.Random(12)
+    make = lambda n, k: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(k)) for _ in range(n))
+    short, tiny, long, whole = make(51, 4), make(51, 3), make(50, 12), make(60, 5)
+    texts = [make(70, 6) + " " + short + " " + make(9, 6), short + "\n" + make(30, 6), make(40, 6) + " " + tiny + " é", tiny.replace(" ", "\n ") + " " + make(40, 6), make(30, 6) + " " + long, long + " " + make(30, 6), whole + "\n", whole, make(80, 6)]
+    df = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.repeats(spark, df, "").collect()}
+    assert short not in got[0] and short not in got[1] and tiny not in got[2] and got[3].split() == texts[3].split()[51:]
+    assert [got[i] for i in (4, 5, 8)] == [texts[i] for i in (4, 5, 8)] and 6 not in got and 7 not in got
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeats_against_brute_force(spark, monkeypatch, hot):
+    from quern.llm import suffixdedup
+
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    rng = random.Random(13)
+    make = lambda n: [rng.choice("abcdefghij") + rng.choice(("", "é", "st")) for _ in range(n)]
+    pool = [make(n) for n in (30, 49, 50, 51, 52, 60, 120, 300)]
+    texts = [rng.choice((" ", "\n", "  ")).join(make(rng.randint(0, 60)) + rng.choice(pool)[rng.randint(0, 9) :] + make(rng.randint(0, 60)) + rng.choice(pool)) for _ in range(40)]
+    texts += [None, "", " ".join(["a"] * 130), texts[0], texts[1] + "\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffixdedup.dedup(df, window=suffixdedup.WORDS).collect()}
+    assert got == dict(enumerate(suffixdedup.brute_force_words(texts))) and sum(map(len, got.values())) > 30
