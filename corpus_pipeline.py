@@ -22,14 +22,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates by shingles of five words and a similarity of 0.8; the smallest doc_id of each group stays."""
-    found = stage(minhash.near_duplicates(docs).select("doc_id", "kept", "component_id"), "kept")
-    gone = found.where("NOT kept").select("doc_id")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*COLUMNS)
-    if found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # Repeated rows of one doc_id are a group, too.
-        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
-    return left
+    """Near-duplicates by shingles of five words and a similarity of 0.8; one row of each group stays, that of the smallest doc_id.
+
+    Rows are told apart by a hash of all their columns, so null and repeated doc_ids are rows like others. Of rows equal
+    in every column one stays. Texts without a word are nobody's copy.
+    """
+    # The hash passes over nulls: they are told by flags.
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("_row"))
+    groups = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = stage(groups.groupBy(F.col("doc_id").alias("_row"), "component_id").agg(F.count("*").alias("copies")), "groups")
+    named = found.join(rows.select("_row", "doc_id").distinct(), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first")).select("first._row")
+    stays = stage(found.join(first, "_row").select("_row", "copies"), "kept")
+    left = rows.join(found.join(stays, "_row", "left_anti").select("_row"), "_row", "left_anti")
+    twice = stays.where("copies > 1").select("_row")
+    if twice.limit(1).count():
+        left = left.join(twice, "_row", "left_anti").unionByName(left.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus pipeline's stages against their operators' rules on a small corpus with planted cases."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -70,3 +71,19 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffixdedup.dedup(df, window=suffixdedup.WORDS).collect()}
     assert got == dict(enumerate(suffixdedup.brute_force_words(texts))) and sum(map(len, got.values())) > 30
+
+
+def test_near_duplicates_by_row(spark):
+    """One row of each group stays, whatever its doc_id: null ones, one doc_id of two texts, copies without any doc_id."""
+    rng = random.Random(14)
+    make = lambda: [f"w{rng.randint(0, 10_000)}" for _ in range(80)]
+    near = lambda w: " ".join(w[:40] + ["changed"] + w[41:])
+    a, b, c, d, e, f, g = (make() for _ in range(7))
+    say = " ".join
+    rows = [(1, say(a)), (None, say(a)), (None, say(b)), (2, say(c)), (3, near(c)), (3, say(d)), (None, say(e)), (None, say(e)), (None, near(e)), (4, say(f)), (4, say(f)), (4, say(g)), (5, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.near_duplicates(spark, df, "")
+    assert out.columns == list(P.COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    first = next(x for x in ((None, say(e)), (None, near(e))) if x in got)
+    assert got == Counter([(1, say(a)), (None, say(b)), (2, say(c)), (3, say(d)), first, (4, say(f)), (4, say(g)), (5, None), (None, None)])
