@@ -110,7 +110,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     A bitmap of BITMAP hashed labels, a constant size, keeps nearly all other texts from being hashed and shuffled.
     """
     spark = docs.sparkSession
-    b = F.pmod(F.xxhash64("label"), F.lit(BITMAP))
+    b = F.pmod(F.xxhash64("label"), F.lit(BITMAP)) + 1  # positions are numbered from 1
     rows = nodes.select(b.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
     bitmap = bytearray(BITMAP // 8 + 4096)
     for k, m in rows:  # at most BITMAP / 32768 rows of 4 KB
@@ -126,7 +126,6 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
         bits = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             at = batch.column(2).to_numpy()
-            at = np.where(at == 0, BITMAP, at)  # positions are numbered from 1
             keep = np.flatnonzero((bits[(at - 1) >> 3] >> ((at - 1) & 7).astype(np.uint8)) & 1)
             if not len(keep):
                 continue
@@ -140,8 +139,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                     [some.column(0).slice(i, j - i), pa.array([int(k[0]) for k in keys], pa.int64()), pa.array([int(k[1]) for k in keys], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
                     names=["label", "k1", "k2", "set"])
 
-    at = F.when(b == 0, F.lit(BITMAP)).otherwise(b)
-    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("label"), "text").select("label", "text", at.alias("b"))
+    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("label"), "text").select("label", "text", b.alias("b"))
     sets = source.mapInArrow(run, "label long, k1 long, k2 long, set binary")
     # A repeated row gives its set again: the node asks for one.
     return nodes.select("nid", "label", "k1", "k2").join(sets, ["label", "k1", "k2"]).groupBy("nid").agg(F.first("set").alias("set"))

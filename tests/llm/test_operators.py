@@ -96,6 +96,14 @@ def test_near_duplicates_across_components(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def test_near_duplicates_at_bitmap_edge(spark):
+    """The hash of doc_id 1314495 is 0 modulo the bitmap's size."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1314495, " ".join(words)), (1314496, " ".join([*words[:-1], "changed"])), (7, "quite another text")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=1).collect()}
+    assert got == {1314495: (1314495, True), 1314496: (1314495, False), 7: (7, True)}
+
+
 def test_signature_estimate():
     import numpy as np
 
