@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import worker_cache
 
-#: Bounds of the fit: texts per language, bytes of each text and of a dictionary, languages.
+#: Bounds of the fit: texts per language, bytes of each text and of a dictionary; beyond so many languages all share what these would have.
 SAMPLE_TEXTS, SAMPLE_BYTES, DICT_BYTES, MAX_LANGUAGES = 400, 600, 112 << 10, 64
 #: Bytes of text encoded at once, compression level, shortest match, and the least lead (as a share) of an accepted text.
 BLOCK, LEVEL, MATCH, MARGIN = 2048, 3, 3, 0.01
@@ -38,17 +38,20 @@ def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, text_bytes: int = SAMPLE
     """lang -> dictionary content, from ``labelled`` (doc_id, text, lang; rows with null text or lang are left out).
 
     Per language, the ``texts`` rows of lowest hash of doc_id are taken: a top-k per language that each task cuts to
-    ``texts`` rows before anything is shuffled. More than MAX_LANGUAGES languages are an error. No rows: no languages.
+    ``texts`` rows before anything is shuffled; of a longer text a piece of ``text_bytes`` characters at a hashed place is used.
+    More than MAX_LANGUAGES languages have fewer texts and smaller dictionaries each, one text at least. No rows: no languages.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(
-        "lang", "doc_id", F.substring("text", 1, text_bytes).alias("t"))
+    given = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    many = max(1, given.select("lang").distinct().count() / MAX_LANGUAGES)
+    texts, dict_bytes = max(1, int(texts / many)), max(text_bytes, int(dict_bytes / many))
+    n = F.length("text")
+    at = F.pmod(F.xxhash64("doc_id", n), F.greatest(n - text_bytes, F.lit(0)) + 1)
+    some = given.select("lang", "doc_id", F.col("text").substr((at + 1).cast("int"), F.lit(text_bytes)).alias("t"))
     some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts)
     out: dict[str, list[bytes]] = {}
     for lang, t in some.orderBy("lang", "k").select("lang", "t").collect():  # texts * languages rows, a parameter
         out.setdefault(lang, []).append(normal(t)[:text_bytes])
-        if len(out) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {k: b" ".join(dict.fromkeys(v))[:dict_bytes] for k, v in out.items()}
 
 

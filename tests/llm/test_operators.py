@@ -187,6 +187,22 @@ def test_language_id(spark, none):
     assert (tie.lang_pred, tie.accepted) == ("w", False)
 
 
+def test_language_id_of_shared_headers_and_rare_languages(spark):
+    """Texts are learnt from beyond a header that all share; 70 odd lang values are no error."""
+    rng = random.Random(8)
+    say = {"en": "the of and to in is that it was for with his they have this".split(), "de": "der die und das ist nicht ein eine mit auf für wird werden über".split()}
+    header = sentence(rng, 150, ["lorem", "ipsum", "dolor", "amet"])
+    made = [(i, header + " " + sentence(rng, 600, say[lang]), lang) for i in range(120) for lang in [["en", "de"][i % 2]]]
+    body = [(1000 + i, sentence(rng, 40, say[lang]), lang) for i in range(20) for lang in [["en", "de"][i % 2]]]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    contents = langid.fit(df)
+    assert b"the" in contents["en"].split() and "für".encode() in contents["de"].split()
+    new = spark.createDataFrame(body, df.schema)
+    assert all(r.lang_pred == r.lang and r.accepted for r in langid.predict(new, contents, keep=("lang",)).collect())
+    rare = df.unionByName(spark.createDataFrame([(2000 + i, f"odd{i} text", f"x{i}") for i in range(70)], df.schema))
+    assert len(langid.fit(rare)) == 72
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.size, r.source) for r in got) == Counter((r[0], len(split(r[1])), r[3]) for r in rows)
