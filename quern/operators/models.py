@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.functions import kernels as K
 from quern.functions import vectors as V
 from quern.operators.messages import classified, epoch
-from quern.operators.tables import cut
+from quern.operators.tables import cut, drop
 from quern.operators.theta import change_series, weekly_theta
 from quern.operators.windows import inter_event
 from quern.sources import social
@@ -32,13 +32,18 @@ def seed(*parts: object) -> np.random.Generator:
 # Topic models -----------------------------------------------------------------------------------------------------------
 
 
-def vocabulary(words: DataFrame, most: int = 50_000) -> DataFrame:
-    """term, term_id of the ``most`` frequent words (a parameter); ids follow frequency, then the word."""
-    top = words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most)
+#: Sweeps of a full fit.
+SWEEPS = 2000
+
+
+def vocabulary(words: DataFrame, most: int | None = None) -> DataFrame:
+    """term, term_id of all words, or of the ``most`` frequent ones; ids follow frequency, then the word."""
+    top = words.groupBy("term").agg(F.count("*").alias("n"))
+    top = top if most is None else top.orderBy(F.desc("n"), "term").limit(most)
     return top.select("term", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1).cast("int").alias("term_id"))
 
 
-def gibbs(docs: DataFrame, topics: int, terms: int, sweeps: int = 20, alpha: float = 0.5, beta: float = 0.01, name: str = "lda", recipients: bool = False) -> tuple[DataFrame, np.ndarray]:
+def gibbs(docs: DataFrame, topics: int, terms: int, sweeps: int = SWEEPS, alpha: float = 0.5, beta: float = 0.01, name: str = "lda", recipients: bool = False) -> tuple[DataFrame, np.ndarray]:
     """(docs with z, topic-term counts) after ``sweeps`` of collapsed Gibbs sampling, one distributed pass each.
 
     ``docs``: doc (the unit that has a topic distribution), words array<int>, and with ``recipients`` others
@@ -95,7 +100,9 @@ def gibbs(docs: DataFrame, topics: int, terms: int, sweeps: int = 20, alpha: flo
     state = docs.select("doc", *(["others", empty.alias("x")] if recipients else []), "words", empty.alias("z"))
     counts = np.zeros((topics, terms), np.int64)
     for step in range(sweeps):
-        state = cut(state.mapInPandas(sweep(step, counts), schema))
+        last, state = state, cut(state.mapInPandas(sweep(step, counts), schema))
+        if step:
+            drop(last)
         counts = counted(state)
     return state, counts
 
@@ -287,11 +294,11 @@ def word_counts(spark, d):
 
 
 def lda(spark, d):
-    """Topic distributions of conversations."""
+    """Topic distributions of conversations: every word of them, SWEEPS sweeps."""
     words = social.table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "term"), "turn").where("length(term) > 1")
-    v = vocabulary(words, 2000)
-    docs = words.join(F.broadcast(v), "term").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "pos", "term_id"))), lambda x: x["term_id"]).alias("words"))
-    state, _ = gibbs(docs, 5, 2000, sweeps=2)
+    v = cut(vocabulary(words))
+    docs = words.join(v, "term").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "pos", "term_id"))), lambda x: x["term_id"]).alias("words"))
+    state, _ = gibbs(cut(docs), 5, v.count())
     return lda_topics(state, 5).select("doc", F.posexplode("theta").alias("topic", "p"))
 
 

@@ -17,4 +17,15 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/quern-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_cut = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of ``cut`` that no later plan reads."""
+    path = getattr(df, "_quern_cut", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
