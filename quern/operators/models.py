@@ -220,19 +220,63 @@ def fit_hmm(sequences: DataFrame, states: int, steps: int = 20, tol: float = 1e-
     return h, float(last)
 
 
-def hmm_selection(sequences: DataFrame, most: int = 4, folds: int = 3) -> DataFrame:
-    """states, fold, bic: every (state count, fold) is fitted in a task of its own on the fold's sequences."""
-    f = F.pmod(F.xxhash64("id"), F.lit(folds))
-    grid = sequences.withColumn("fold", f.cast("int")).withColumn("states", F.explode(F.sequence(F.lit(1), F.lit(most))))
+def hmm_selection(sequences: DataFrame, most: int = 20, folds: int = 10, steps: int = 100, tol: float = 0.1) -> DataFrame:
+    """states, fold, bic: every state count is fitted on all folds but one and judged on that one, for each fold.
 
-    def run(key, pdf):
-        seqs = [(np.array(x, float), bool(c)) for x, c in zip(pdf["x"], pdf["complete"]) if len(x)]
-        n = int(key[0])
-        h, ll = K.fit_hmm(seqs, n, 30)
-        size = sum(len(x) for x, _ in seqs)
-        return pd.DataFrame({"states": [n], "fold": [int(key[1])], "bic": [-2 * ll + (n * n + 2 * n - 1) * np.log(size)]})
+    A step is one pass over the sequences for all fits that still go on; only their statistics are added up. A fold
+    without sequences, one that leaves none to fit on, and a degenerate fit have an infinite bic.
+    """
+    data = cut(sequences.where(F.size("x") > 0).select(F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int").alias("fold"), "x", "complete"))
+    grid = [(n, k) for n in range(1, most + 1) for k in range(folds)]
+    cuts = [(i + 0.5) / n for n in range(1, most + 1) for i in range(n)]
+    values = data.select("fold", F.explode("x").alias("v")).withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold"))))
+    begun = {k: (q, v) for k, q, v in values.groupBy("k").agg(F.percentile_approx("v", cuts, 10_000), F.var_pop("v")).collect()}  # a row per fold
+    models = {}
+    for n, k in grid:
+        if k in begun:
+            q, v = begun[k]
+            models[n, k] = K.Hmm(np.full(n, 1 / n), np.full((n, n), 1 / n), np.array(q[n * (n - 1) // 2 : n * (n + 1) // 2]) + np.arange(n) * 1e-6, np.full(n, max((v or 0) / n, 1e-3)))
+    active, last = dict(models), {}
+    for _ in range(steps):
+
+        def run(batches: Iterator[pd.DataFrame], now=active) -> Iterator[pd.DataFrame]:
+            total: dict = {}
+            for b in batches:
+                for f, x, c in zip(b["fold"], b["x"], b["complete"]):
+                    x = np.array(x, float)
+                    for (n, k), h in now.items():
+                        if f != k:
+                            total[n, k] = total.get((n, k), 0) + h.statistics(x, bool(c))
+            yield pd.DataFrame({"n": [n for n, _ in total], "k": [k for _, k in total], "s": pd.Series(list(total.values()), dtype=object)})
+
+        if not active:
+            break
+        parts = data.mapInPandas(run, "n int, k int, s array<double>").select("n", "k", F.posexplode("s").alias("i", "v"))
+        sums = {(n, k): np.zeros(2 + 4 * n + n * n) for n, k in active}
+        for n, k, i, v in parts.groupBy("n", "k", "i").agg(F.sum("v")).collect():  # the fits' statistics, sizes by parameters
+            sums[n, k][i] = v
+        going = {}
+        for key, s in sums.items():
+            if not np.isfinite(s).all():
+                del models[key]
+            elif key not in last or s[0] - last[key] >= tol:
+                going[key] = models[key] = models[key].updated(s)
+                last[key] = s[0]
+        active = going
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for b in batches:
+            for f, x, c in zip(b["fold"], b["x"], b["complete"]):
+                x = np.array(x, float)
+                rows += [(n, k, h.log_likelihood(x, bool(c)), len(x)) for (n, k), h in models.items() if k == f]
+        found = pd.DataFrame(rows, columns=["n", "k", "ll", "size"])
+        yield found.groupby(["n", "k"], as_index=False).sum()
 
-    return grid.groupBy("states", "fold").applyInPandas(run, "states int, fold int, bic double")
+    judged = data.mapInPandas(judge, "n int, k int, ll double, size long").groupBy("n", "k").agg(F.sum("ll"), F.sum("size")).collect()  # a row per fit
+    bic = {(n, k): -2 * ll + (n * n + 2 * n - 1) * np.log(size) for n, k, ll, size in judged if np.isfinite(ll)}
+    drop(data)
+    return sequences.sparkSession.createDataFrame([(n, k, float(bic.get((n, k), np.inf))) for n, k in grid], "states int, fold int, bic double")
 
 
 def user_sequences(spark, d: str) -> DataFrame:
@@ -303,13 +347,13 @@ def lda(spark, d):
 
 
 def hmm_fit(spark, d):
-    h, ll = fit_hmm(user_sequences(spark, d), 2, 5)
+    h, ll = fit_hmm(cut(user_sequences(spark, d)), 2, 20_000, 1e-6)
     order = np.argsort(h.mean)
     return spark.createDataFrame([(int(k), float(h.mean[i]), float(h.var[i]), ll) for k, i in enumerate(order)], "state int, mean double, var double, ll double")
 
 
 def hmm_states(spark, d):
-    return hmm_selection(user_sequences(spark, d), 2, 2)
+    return hmm_selection(user_sequences(spark, d), 20, 10)
 
 
 def granger(spark, d):

@@ -29,3 +29,27 @@ def test_gibbs_drops_what_it_has_read(spark):
     docs = spark.createDataFrame([(i, [0, 1, 2] if i % 2 else [3, 4, 5]) for i in range(20)], "doc long, words array<int>")
     state, counts = M.gibbs(docs, 2, 6, sweeps=3)
     assert state.count() == 20 and counts.sum() == 60
+
+
+def test_hmm_selection_on_held_out_folds(spark):
+    """Three states far apart: three is the best count on average, and no more rows than the grid's."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(24):
+        s, x = 0, []
+        for _ in range(60):
+            s = s if rng.random() < 0.8 else int(rng.integers(0, 3))
+            x.append(float(10 * s + rng.normal()))
+        rows.append((i, x, i % 2 == 0))
+    df = spark.createDataFrame(rows, "id long, x array<double>, complete boolean")
+    got = M.hmm_selection(df, 4, 3, steps=15).collect()
+    assert sorted((r.states, r.fold) for r in got) == [(n, k) for n in range(1, 5) for k in range(3)]
+    mean = {n: np.mean([r.bic for r in got if r.states == n]) for n in range(1, 5)}
+    assert all(np.isfinite(r.bic) for r in got) and min(mean, key=mean.get) == 3
+
+
+def test_hmm_grid(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(M, "hmm_selection", lambda sequences, *grid: asked.append(grid))
+    M.hmm_states(spark, D)
+    assert asked == [(20, 10)]
