@@ -2,11 +2,12 @@
 
 Staged tables are Parquet folders under the cluster's shared folder (``spark.checkpoint.dir``), so that a
 lost executor never takes an intermediate result with it; a local folder is made only where that setting
-is absent (tests).
+is absent and the master is local (tests).
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,8 +32,12 @@ def worker_cache(name: str, build):
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Lower the session's Arrow batches to BATCH_BYTES and 2000 rows; limits that are lower already stay."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 2000)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"-?\d+", str(spark.conf.get(key)))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +46,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one of this machine only where none is set."""
+    """The shared folder of the session. Where none is set: a temporary one on a local master, an error on a cluster, whose
+    executors could not see it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")

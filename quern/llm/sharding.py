@@ -7,7 +7,7 @@ overflowing a full shard continue clockwise to the next point whose shard has ro
 
 Only the number of keys per slot decides where a run of keys goes, so the walk around the ring is done on at
 most ``slots`` counters, a bound that is a parameter and doesn't grow with the data. Rows then meet their run
-by (slot, rank in the slot): no row is gathered, and a hot slot is ranked in cells of bounded size.
+by (slot, rank in the slot): ranks come from balanced ranges of ring order, by one rule at every size.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import stage
+from quern.llm.common import drop_staged, stage
 
-SLOTS, VNODES, CELL_ROWS, COPIES_SALT = 4096, 64, 1_000_000, 16
+SLOTS, VNODES, SALT, BROADCAST_ROWS = 4096, 64, 64, 200_000
 
 
 def ring(shards: int, vnodes: int = VNODES, slots: int = SLOTS) -> list[int]:
@@ -79,33 +79,61 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, slots: int = S
     text = F.coalesce(F.col("text"), F.lit(""))
     owners = ring(shards, vnodes, slots)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("_b")).select(
-        "doc_id", (F.octet_length("_b") + F.lit(1)).cast("long").alias("size"), F.crc32("_b").alias("text_crc32"),
-        (F.monotonically_increasing_id() % COPIES_SALT).alias("_salt"))
+        "doc_id", (F.octet_length("_b") + F.lit(1)).cast("long").alias("size"), F.crc32("_b").alias("text_crc32"))
     keyed = keyed.withColumn("_pos", F.xxhash64(F.coalesce("doc_id", "text_crc32")))
-    keyed = stage(keyed.withColumn("_slot", F.pmod(F.shiftrightunsigned("_pos", 20), F.lit(slots)).cast("int")), "ring")
-
-    n = keyed.count()
-    subs = 1 + n // (slots * CELL_ROWS)
-    keyed = keyed.withColumn("_sub", F.when(F.lit(subs == 1), F.lit(0)).otherwise(F.pmod(F.xxhash64("_pos", "_salt"), F.lit(subs))).cast("int"))
-    cells = keyed.groupBy("_slot", "_sub").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_slot").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cells.select("_slot", "_sub", F.coalesce(before, F.lit(0)).alias("_before"))
+    keyed = stage(keyed.withColumn("_slot", F.pmod(F.shiftrightunsigned("_pos", 20), F.lit(slots)).cast("int")), "keys")
+
+    # Ranges of ring order are balanced by rows, and a salt is the last key: neither a hot slot nor a row that is
+    # repeated very often fills one task. A row's rank in its slot is its place in its range plus the counts before.
+    order = ["_slot", "_pos", "doc_id", "text_crc32", "size", "_salt"]
+    salted = keyed.withColumn("_salt", F.monotonically_increasing_id() % SALT)
+    ordered = salted.repartitionByRange(*order).sortWithinPartitions(*order).drop("_salt", "_pos").withColumn("_at", F.monotonically_increasing_id())
+    ordered = stage(ordered, "ring")  # _at is (range, place) from here on
+    drop_staged(keyed)
+    pid = F.shiftright("_at", 33)
+    spans = ordered.groupBy("_slot", pid.alias("_pid")).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    spans = stage(spans, "spans")  # at most a row per slot and one more per range
+    before = F.sum("_n").over(Window.partitionBy("_slot").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = spans.select("_slot", "_pid", "_from", F.coalesce(before, F.lit(0)).cast("long").alias("_before"))
 
     counts = [0] * slots
-    for slot, k in cells.groupBy("_slot").agg(F.sum("_n")).collect():  # at most `slots` rows
+    for slot, k in spans.groupBy("_slot").agg(F.sum("_n")).collect():  # at most `slots` rows
         counts[slot] = k
     runs = spread(counts, owners, shards)
     table = ", ".join(f"({a}, {b}L, {c}L, {d}, {e}L)" for a, b, c, d, e in runs) or "(-1, 0L, 0L, 0, 0L)"
     # At most (shards + 1) * slots runs, whatever the data: safe to broadcast.
     moves = F.broadcast(spark.sql(f"SELECT * FROM VALUES {table} AS t(_slot, _first, _end, shard, _base)"))
-
-    own = Window.partitionBy("_slot", "_sub").orderBy("_pos", "doc_id", "text_crc32", "size")
-    ranked = keyed.withColumn("_r", F.row_number().over(own))
-    if subs > 1:
-        ranked = ranked.join(offsets, ["_slot", "_sub"]).withColumn("_rank", F.col("_r") - 1 + F.col("_before"))
-    else:
-        ranked = ranked.withColumn("_rank", F.col("_r") - F.lit(1).cast("long"))
+    if spans.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    ranked = ordered.withColumn("_pid", pid).join(offsets, ["_slot", "_pid"]).withColumn("_rank", F.col("_at") - F.col("_from") + F.col("_before"))
     placed = ranked.join(moves, "_slot").where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("_base") + F.col("_rank") - F.col("_first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def brute_force(rows: list[tuple[int | None, str | None]], keys, shards: int = 8, vnodes: int = VNODES, slots: int = SLOTS) -> list[tuple[int, int]]:
+    """(shard, slot) of each (doc_id, text): every key walks the ring on its own; ``keys`` are the positions of the rows."""
+    import zlib
+
+    owners = ring(shards, vnodes, slots)
+    order = sorted(range(len(rows)), key=lambda i: ((keys[i] >> 20) % slots if keys[i] >= 0 else ((keys[i] + (1 << 64)) >> 20) % slots, keys[i],
+                                                    rows[i][0] is not None, rows[i][0] or 0, zlib.crc32((rows[i][1] or "").encode())))
+    start = {i: ((keys[i] % (1 << 64)) >> 20) % slots for i in order}
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    load, out, over = [0] * shards, [(-1, -1)] * len(rows), []
+    for i in order:  # a shard keeps its own keys first
+        s = owners[start[i]]
+        if load[s] < room[s]:
+            out[i] = (s, load[s])
+            load[s] += 1
+        else:
+            over.append(i)
+    for i in over:  # then keys that found it full go on clockwise
+        at = start[i]
+        while load[owners[at % slots]] >= room[owners[at % slots]]:
+            at += 1
+        s = owners[at % slots]
+        out[i] = (s, load[s])
+        load[s] += 1
+    return out

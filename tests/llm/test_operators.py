@@ -162,13 +162,16 @@ def test_ring_walk_and_movement():
     assert all(y in (x, 8) for x, y in zip(a, b)) and 0.05 < sum(y == 8 for y in b) / len(b) < 0.2
 
 
-def test_sharding_in_cells(docs, rows, monkeypatch):
-    whole = Counter(r.shard for r in sharding.shard(docs).collect())
-    monkeypatch.setattr(sharding, "CELL_ROWS", 1)
-    got = sharding.shard(docs, slots=8, vnodes=1).collect()
-    assert sum(whole.values()) == len(got) == len(rows)
-    for s in range(8):
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+def test_sharding_against_the_walk(spark, docs, rows):
+    """Every key walks alone in the brute force; equal rows may swap places."""
+    from pyspark.sql import functions as F
+
+    hot = rows + [rows[12]] * 40 + [(7, None, None, None, 0, "x", 1, "y")] * 30
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(hot)], "i long, " + SCHEMA).repartition(5)
+    keys = [r.k for r in df.select("i", F.xxhash64(F.coalesce("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))).alias("k")).orderBy("i").collect()]
+    for shards, vnodes, slots in ((8, 64, 4096), (3, 2, 8), (8, 1, 8)):
+        want = Counter((r[0], zlib.crc32((r[1] or "").encode()), *x) for r, x in zip(hot, sharding.brute_force([r[:2] for r in hot], keys, shards, vnodes, slots)))
+        assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard(df, shards, vnodes, slots).collect()) == want
 
 
 def test_language_id(spark, none):
