@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Per language, a raw-content zstandard dictionary is made of a bounded sample of labelled texts. A text is encoded
+Per language, a raw-content zstandard dictionary is made of a bounded sample of labelled texts, each of them whole. A text is encoded
 whole, in blocks, once with every dictionary; the language whose dictionary gives the fewest bytes wins, and the
 text is rejected when the runner-up comes too close. Letters are lower-cased and all other ASCII becomes single
 spaces before encoding; a few zero bytes end each block, so that even the shortest text is stored as matches and
@@ -9,15 +9,16 @@ literals and not as a raw block, which would cost the same in every language.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import worker_cache
+from quern.llm.common import drop_staged, stage, worker_cache
 
-#: Bounds of the fit: texts per language, bytes of each text and of a dictionary; beyond so many languages all share what these would have.
-SAMPLE_TEXTS, SAMPLE_BYTES, DICT_BYTES, MAX_LANGUAGES = 400, 600, 112 << 10, 64
+#: Bounds of the fit: texts per language and bytes of a dictionary; beyond so many languages all share what these would have. Least bytes of a segment.
+SAMPLE_TEXTS, DICT_BYTES, MAX_LANGUAGES, SEGMENT = 400, 112 << 10, 64, 40
 #: Bytes of text encoded at once, compression level, shortest match, and the least lead (as a share) of an accepted text.
 BLOCK, LEVEL, MATCH, MARGIN = 2048, 3, 3, 0.01
 FILLER = bytes(32)
@@ -34,25 +35,66 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split())
 
 
-def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, text_bytes: int = SAMPLE_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def content(texts: list[bytes], size: int, width: int = SEGMENT) -> bytes:
+    """A dictionary of at most ``size`` bytes from whole normalised texts: the segments that cover most.
+
+    A segment is worth the counts over all texts of its words, a byte; each time that the dictionary takes a word its count
+    halves. The best segments come last, where matches are cheapest.
+    """
+    import heapq
+
+    segments: dict[bytes, None] = {}
+    for t in texts:
+        at = 0
+        while at < len(t):
+            end = t.find(b" ", at + width)
+            end = len(t) if end < 0 else end
+            segments[t[at:end]] = None
+            at = end + 1
+    words = [(x, set(x.split())) for x in segments]
+    left = Counter(w for _, own in words for w in own)
+    heap = [(-sum(left[w] for w in own) / (len(x) + 1), x, own) for x, own in words]
+    heapq.heapify(heap)
+    out, room = [], size
+    while heap and room > 0:
+        _, x, own = heapq.heappop(heap)
+        now = -sum(left[w] for w in own) / (len(x) + 1)
+        if heap and now > heap[0][0]:  # worth less than it was: it waits
+            heapq.heappush(heap, (now, x, own))
+            continue
+        out.append(x[:room])
+        room -= len(x) + 1
+        for w in own:
+            left[w] /= 2
+    return b" ".join(out[::-1])
+
+
+def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """lang -> dictionary content, from ``labelled`` (doc_id, text, lang; rows with null text or lang are left out).
 
-    Per language, the ``texts`` rows of lowest hash of doc_id are taken: a top-k per language that each task cuts to
-    ``texts`` rows before anything is shuffled; of a longer text a piece of ``text_bytes`` characters at a hashed place is used.
-    More than MAX_LANGUAGES languages have fewer texts and smaller dictionaries each, one text at least. No rows: no languages.
+    Per language, the ``texts`` different rows of lowest hash of (doc_id, text) are taken, whole: a top-k of hashes per language,
+    then a second pass for these texts alone. A task per language makes its dictionary (``content``), so only
+    ``dict_bytes`` a language come to the driver. More than MAX_LANGUAGES languages have fewer texts and smaller
+    dictionaries each, one text at least. No rows: no languages.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    given = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    many = max(1, given.select("lang").distinct().count() / MAX_LANGUAGES)
-    texts, dict_bytes = max(1, int(texts / many)), max(text_bytes, int(dict_bytes / many))
-    n = F.length("text")
-    at = F.pmod(F.xxhash64("doc_id", n), F.greatest(n - text_bytes, F.lit(0)) + 1)
-    some = given.select("lang", "doc_id", F.col("text").substr((at + 1).cast("int"), F.lit(text_bytes)).alias("t"))
-    some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts)
-    out: dict[str, list[bytes]] = {}
-    for lang, t in some.orderBy("lang", "k").select("lang", "t").collect():  # texts * languages rows, a parameter
-        out.setdefault(lang, []).append(normal(t)[:text_bytes])
-    return {k: b" ".join(dict.fromkeys(v))[:dict_bytes] for k, v in out.items()}
+    given = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    order = Window.partitionBy("lang").orderBy("h")
+    first = given.select("lang", "h").withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= texts).groupBy("lang", "h").agg(F.min("k").alias("k"))
+    first = stage(first, "sample")
+    many = max(1, first.select("lang").distinct().count() / MAX_LANGUAGES)
+    texts, dict_bytes = max(1, int(texts / many)), max(SEGMENT, int(dict_bytes / many))
+    some = F.broadcast(first.where(F.col("k") <= texts).select("lang", "h"))  # texts * languages rows, parameters
+    whole = given.join(some, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+    def build(key, table):
+        import pyarrow as pa
+
+        rows = sorted(zip(table.column("h").to_pylist(), table.column("text").to_pylist()))
+        return pa.table({"lang": [key[0].as_py()], "content": pa.array([content([normal(t) for _, t in rows], dict_bytes)], pa.binary())})
+
+    made = whole.groupBy("lang").applyInArrow(build, "lang string, content binary").collect()
+    drop_staged(first)
+    return {r.lang: bytes(r.content) for r in made}
 
 
 class Model:

@@ -206,6 +206,33 @@ def test_language_id_of_shared_headers_and_rare_languages(spark):
     assert len(langid.fit(rare)) == 72
 
 
+def test_language_id_against_brute_force(docs, rows):
+    """Every text encoded anew with a fresh compressor per block and language, and the dictionary's greedy order by plain search."""
+    import zstandard as z
+
+    contents = {"en": langid.normal(" ".join(r[1] or "" for r in rows[10:14])), "de": langid.normal(" ".join(r[1] or "" for r in rows[14:16])), "xx": b"zz"}
+    want = Counter()
+    for r in rows:
+        if r[1] is None or not any(c.isalpha() for c in r[1]):
+            want[(r[0], r[2], r[3], "und", 0.0, False)] += 1
+            continue
+        t, size = langid.normal(r[1]), {}
+        for lang, d in contents.items():
+            p = z.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=langid.MATCH, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[lang] = 0
+            for i in range(0, len(t), langid.BLOCK):
+                made = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p).compress(t[i : i + langid.BLOCK] + langid.FILLER)
+                size[lang] += len(made)
+        best = min(sorted(size), key=size.get)
+        second = sorted(size.values())[1]
+        want[(r[0], r[2], r[3], best, round(max(0.0, 1 - size[best] * 3 / sum(size.values())), 9), (second - size[best]) / second > langid.MARGIN)] += 1
+    got = langid.predict(docs, contents, keep=("lang", "source")).collect()
+    assert Counter((r.doc_id, r.lang, r.source, r.lang_pred, round(r.score, 9), r.accepted) for r in got) == want
+    texts = [b"aa bb cc dd", b"aa bb ee", b"ff gg", b"aa bb ee"]
+    assert langid.content(texts, 1000, 1) == b" ".join(sorted({w for t in texts for w in t.split()}, key=lambda w: (-{b"aa": 1, b"bb": 1}.get(w, 1), w))[::-1])
+    assert len(langid.content(texts * 50, 12, 4)) <= 12 and langid.content([], 10) == b""
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.size, r.source) for r in got) == Counter((r[0], len(split(r[1])), r[3]) for r in rows)
