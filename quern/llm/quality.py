@@ -1,9 +1,11 @@
 """Quality rules with line labels from a linear-chain conditional random field.
 
 Each line with a word is content or boilerplate. Line features feed a two-state chain whose weights are fitted here by
-conditional likelihood on a bounded sample of labelled documents (a document's label stands for its lines); Viterbi
-decoding marks the lines of every text, and the share of its words on content lines decides retention. Documents that
-fail the base rules are dropped before that.
+conditional likelihood on a bounded sample of labelled documents, taken whole. Only documents are labelled, so lines get weak
+labels first: without its transitions the same model tells which lines of good documents stand out in bad ones, and a
+document's lines follow that while the document's own label keeps the greater part of its words. The chain learns
+from these sequences, which change state inside documents. Viterbi decoding marks the lines of every text, and the share of
+its words on content lines decides retention. Documents that fail the base rules are dropped before that.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled documents, and lines of each that are used.
-SAMPLE_DOCS, SAMPLE_LINES = 1000, 120
+#: Bound of the fit: labelled documents.
+SAMPLE_DOCS = 1000
 SHARE, MIN_WORDS, WINDOW, REPEAT_PERCENT = 0.5, 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("bias", "symbols_per_word", "symbols_many", "upper_share", "shouted", "exclaimed", "digits", "repeated_line", "repeated_words", "short", "ends_well", "starts_well", "long_words", "first", "last")
@@ -127,8 +129,50 @@ class Field:
         return path[::-1]
 
 
-def fit(sequences: list, steps: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> Field:
-    """Weights by gradient ascent (Adam) on the conditional log-likelihood of ``sequences`` of (x, y)."""
+class Batch:
+    """Sequences of (x, y) laid out by step: row t holds the t-th line of every sequence that has one, longest first."""
+
+    def __init__(self, sequences: list):
+        import numpy as np
+
+        seqs = sorted(sequences, key=lambda s: -len(s[1]))
+        size = np.array([len(y) for _, y in seqs])
+        self.width = [int(np.count_nonzero(size > t)) for t in range(int(size[0]))]
+        self.begin = np.concatenate(([0], np.cumsum(self.width)))
+        step = np.concatenate([np.arange(n) for n in size])
+        at = self.begin[step] + np.repeat(np.arange(len(seqs)), size)
+        self.x = np.zeros((len(step), len(FEATURES)))
+        self.y = np.zeros(len(step), int)
+        self.x[at], self.y[at] = np.concatenate([x for x, _ in seqs]), np.concatenate([y for _, y in seqs])
+
+
+def gradient(batch: Batch, emit, move):
+    """Mean conditional log-likelihood of ``batch`` a line, and its gradients by emit and move."""
+    import numpy as np
+
+    e, w, b, total = batch.x @ emit, batch.width, batch.begin, len(batch.y)
+    fwd, bwd = e.copy(), np.zeros_like(e)
+    for t in range(1, len(w)):
+        v, q = fwd[b[t - 1] : b[t - 1] + w[t]], b[t]
+        fwd[q : q + w[t]] += np.logaddexp(v[:, :1] + move[0], v[:, 1:] + move[1])
+    for t in range(len(w) - 2, -1, -1):
+        q = b[t + 1]
+        v = e[q : q + w[t + 1]] + bwd[q : q + w[t + 1]]
+        bwd[b[t] : b[t] + w[t + 1]] = np.logaddexp(v[:, :1] + move[:, 0], v[:, 1:] + move[:, 1])
+    z = np.logaddexp(fwd[:, 0] + bwd[:, 0], fwd[:, 1] + bwd[:, 1])  # of its sequence, at every line
+    prob = np.exp(fwd + bwd - z[:, None])
+    nxt = np.concatenate([np.arange(b[t], b[t] + w[t]) for t in range(1, len(w))] or [np.zeros(0, int)])
+    own = np.concatenate([np.arange(b[t - 1], b[t - 1] + w[t]) for t in range(1, len(w))] or [np.zeros(0, int)])
+    pair = np.exp(fwd[own, :, None] + move + (e[nxt] + bwd[nxt])[:, None, :] - z[own, None, None])
+    hot = np.eye(2)[batch.y]
+    gold = hot[own].T @ hot[nxt]
+    value = (e * hot).sum() + (gold * move).sum() - z[: w[0]].sum()
+    return value / total, batch.x.T @ (hot - prob) / total, (gold - pair.sum(axis=0)) / total
+
+
+def fit(sequences: list, steps: int = 120, rate: float = 0.15, ridge: float = 1e-3, chain: bool = True) -> Field:
+    """Weights by gradient ascent (Adam) on the conditional log-likelihood of ``sequences`` of (x, y); without ``chain`` each line
+    stands alone. No sequences: all is content. The steps of a gradient follow the longest sequence."""
     import numpy as np
 
     f = len(FEATURES)
@@ -136,57 +180,68 @@ def fit(sequences: list, steps: int = 120, rate: float = 0.15, ridge: float = 1e
     if not sequences:
         theta[1] = 1.0  # without labels, all is content
         return Field(theta[: 2 * f].reshape(f, 2), theta[2 * f :].reshape(2, 2))
-    d, n = len(sequences), max(len(y) for _, y in sequences)
-    x, y, on = np.zeros((n, d, f)), np.zeros((n, d), int), np.zeros((n, d), bool)
-    for k, (a, b) in enumerate(sequences):
-        x[: len(b), k], y[: len(b), k], on[: len(b), k] = a, b, True
-    gold = np.zeros_like(theta)
-    hot = np.eye(2)[y] * on[..., None]
-    gold[: 2 * f] = np.einsum("tdf,tds->fs", x, hot).ravel()
-    gold[2 * f :] = np.einsum("tdi,tdj->ij", hot[:-1], hot[1:]).ravel()
+    if not chain:
+        sequences = [(x[i : i + 1], y[i : i + 1]) for x, y in sequences for i in range(len(y))]
+    batch = Batch(sequences)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-
-    def lse(a, axis):
-        top = a.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-    total = on.sum()
     for step in range(1, steps + 1):
-        emit, move = theta[: 2 * f].reshape(f, 2), theta[2 * f :].reshape(2, 2)
-        e = x @ emit
-        fwd, bwd = np.zeros((n, d, 2)), np.zeros((n, d, 2))
-        fwd[0] = e[0]
-        for t in range(1, n):
-            fwd[t] = np.where(on[t][:, None], lse(fwd[t - 1][:, :, None] + move, 1) + e[t], fwd[t - 1])
-        for t in range(n - 2, -1, -1):
-            bwd[t] = np.where(on[t + 1][:, None], lse(move + (e[t + 1] + bwd[t + 1])[:, None, :], 2), bwd[t + 1])
-        z = lse(fwd[-1], 1)
-        p = np.exp(fwd + bwd - z[None, :, None]) * on[..., None]
-        pair = np.exp(fwd[:-1, :, :, None] + move + (e[1:] + bwd[1:])[:, :, None, :] - z[None, :, None, None]) * on[1:, :, None, None]
-        model = np.concatenate((np.einsum("tdf,tds->fs", x, p).ravel(), pair.sum(axis=(0, 1)).ravel()))
-        g = (gold - model) / total - ridge * theta
+        _, ge, gm = gradient(batch, theta[: 2 * f].reshape(f, 2), theta[2 * f :].reshape(2, 2))
+        g = np.concatenate((ge.ravel(), gm.ravel())) - ridge * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Field(theta[: 2 * f].reshape(f, 2), theta[2 * f :].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> Field:
-    """A field from the ``limit`` labelled documents of lowest hash; labels has doc_id and quality (1 good, 0 bad)."""
+def weak_labels(documents: list, share: float = SHARE) -> list:
+    """Sequences (x, y) for ``documents`` of (words per line, x, label): lines that the line model holds for the other state take it,
+    the surest first, while the document's label keeps more than ``share`` of its words (of a bad one's, at least as much)."""
     import numpy as np
-    import pyarrow as pa
 
-    from quern.llm import hashing as H
+    line = fit([(x, np.full(len(w), q)) for w, x, q in documents], chain=False)
+    out = []
+    for w, x, q in documents:
+        e = x @ line.emit
+        other = e[:, 1 - q] - e[:, q]
+        order = np.argsort(-other, kind="stable")
+        flip = order[(other[order] > 0) & (np.cumsum(w[order]) < (1 - share) * w.sum())]
+        y = np.full(len(w), q)
+        y[flip] = 1 - q
+        out.append((x, y))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Field:
+    """A field from the ``limit`` labelled documents of lowest hash; labels has doc_id and quality (1 good, 0 bad).
+
+    Of several labels of one doc_id the lower counts, of several texts the last by code point. The texts are taken whole and the
+    fit runs in one task of ``limit`` documents; the driver gets the weights alone. No labels: all lines are content.
+    """
+    some = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # a parameter: safe to broadcast
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("quality").alias("quality"))
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        from quern.llm import hashing as H
+
+        found = []
+        for _, t, q in sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "quality")))):
+            data, offs = H.text_bytes(pa.array([t]))
+            _, _, words, x = analyse(data, offs)
+            if len(words):
+                found.append((words, x, int(q)))
+        f = fit(weak_labels(found) if found else [])
+        return pa.table({"w": pa.array([np.concatenate((f.emit.ravel(), f.move.ravel())).tolist()], pa.list_(pa.float64()))})
+
+    made = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "w array<double>").collect()
+    if not made:
+        return fit([])
+    import numpy as np
 
-    some = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # a parameter: safe to broadcast and to collect
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").collect()
-    sequences = []
-    for _, t, q in sorted(rows):
-        data, offs = H.text_bytes(pa.array([t]))
-        _, _, words, x = analyse(data, offs)
-        if len(words):
-            sequences.append((x[:lines], np.full(min(lines, len(words)), q)))
-    return fit(sequences)
+    w, f = np.array(made[0].w), len(FEATURES)
+    return Field(w[: 2 * f].reshape(f, 2), w[2 * f :].reshape(2, 2))
 
 
 def assess(docs: DataFrame, field: Field, share: float = SHARE, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -401,6 +401,54 @@ def test_quality(spark, docs, rows, none):
     assert quality.train(none, spark.createDataFrame([], "doc_id long, quality int")).viterbi([[1.0] * len(quality.FEATURES)] and __import__("numpy").ones((2, len(quality.FEATURES)))) == [1, 1]
 
 
+def test_gradient_against_all_paths():
+    """Likelihood by listing all paths, gradient by differences."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    f = len(quality.FEATURES)
+    seqs = [(rng.normal(size=(n, f)), rng.integers(0, 2, n)) for n in (3, 1, 5, 2)]
+    emit, move = rng.normal(size=(f, 2)) / 4, rng.normal(size=(2, 2)) / 4
+
+    def likelihood(emit, move):
+        total = 0.0
+        for x, y in seqs:
+            e = x @ emit
+            score = lambda p: sum(e[i, s] for i, s in enumerate(p)) + sum(move[a, b] for a, b in zip(p[:-1], p[1:]))
+            total += score(y) - np.log(sum(np.exp(score(p)) for p in itertools.product((0, 1), repeat=len(y))))
+        return total / sum(len(y) for _, y in seqs)
+
+    value, ge, gm = quality.gradient(quality.Batch(seqs), emit, move)
+    assert abs(value - likelihood(emit, move)) < 1e-9
+    h = 1e-5
+    for w, g in ((emit, ge), (move, gm)):
+        for i in np.ndindex(w.shape):
+            up = [a.copy() for a in (emit, move)]
+            down = [a.copy() for a in (emit, move)]
+            k = 0 if w is emit else 1
+            up[k][i] += h
+            down[k][i] -= h
+            assert abs((likelihood(*up) - likelihood(*down)) / 2 / h - g[i]) < 1e-6
+
+
+def test_quality_of_mixed_documents(spark):
+    """Clean lines and boilerplate in one document are told apart line by line, though only documents are labelled."""
+    rng = random.Random(4)
+    clean = lambda: "The " + sentence(rng, 9, ["cat", "dog", "walks", "home", "slowly", "again"]) + "."
+    junk = lambda: "### $$$ " + sentence(rng, 6, ["buy", "now", "win", "cash"]) + " %%% ***"
+    rows = [(i, "\n".join(clean() for _ in range(8)), 1) for i in range(60)] + [(100 + i, "\n".join([clean(), clean(), *(junk() for _ in range(6))]), 0) for i in range(60)]
+    train = spark.createDataFrame([*rows, (5, "\n".join(junk() for _ in range(9)), 1)], "doc_id long, text string, quality int")
+    field = quality.train(train.select("doc_id", "text"), train.select("doc_id", "quality"))
+    assert field.move[0, 0] + field.move[1, 1] > field.move[0, 1] + field.move[1, 0]
+    mixed = [(i, "\n".join([*(clean() for _ in range(a)), *(junk() for _ in range(b)), *(clean() for _ in range(c))])) for i, (a, b, c) in enumerate([(6, 2, 0), (2, 6, 0), (3, 3, 3), (1, 7, 1), (0, 4, 2)])]
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(mixed, "doc_id long, text string"), field).collect()}
+    for i, t in mixed:
+        good = sum(len(split(x)) for x in t.split("\n") if x.startswith("The"))
+        assert got[i].n_content_words == good and got[i].kept == (2 * good >= got[i].n_words)
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
