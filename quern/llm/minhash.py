@@ -7,7 +7,8 @@ are confirmed on their full sets.
 
 Texts with equal sets are one node throughout, so copies cost one row each. The members of a bucket are first compared
 with one member (a star); only buckets that still hold several components are compared across these components, in
-blocks of bounded size. Every link between different sets that shares a band is thus inside a component or tested.
+blocks of bounded size, and the largest component never with itself. Every link between different sets that shares a
+band is thus inside a component or tested.
 At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**38, below 3e-7, and a signature estimate
 falls 0.2 short of it with probability below 1e-8.
 """
@@ -26,7 +27,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BITS, SLACK = 38, 5, 2, 0.2
 HASHES = BANDS * ROWS
 WORDS64 = -(-HASHES * BITS // 64)
-BLOCK, BITMAP = 256, 1 << 22
+BLOCK, SPLIT, BITMAP = 1024, 256, 1 << 22
 
 
 def signature(x, mult, add):
@@ -56,7 +57,7 @@ def set_key(x):
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (the set's key), bands, sketch; the last four null for an empty set."""
+    """doc_id, label, n_shingles, k1, k2 (the set's key), bands, sketch; the last four null for an empty set."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -85,12 +86,17 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 at = [next(it) if len(x) else None for x in sets]
                 lists = lambda m: pa.array([None if r is None else m[r] for r in at], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array([None if k is None else int(k[0]) for k in keys], pa.int64()),
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array([None if k is None else int(k[0]) for k in keys], pa.int64()),
                      pa.array([None if k is None else int(k[1]) for k in keys], pa.int64()), lists(band), lists(sketch.view(np.int64))],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+                    names=["doc_id", "label", "n_shingles", "k1", "k2", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", label()).mapInArrow(
+        run, "doc_id long, label long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>")
+
+
+def label():
+    """By what a second pass finds a row again: its doc_id or, without one, a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("label")
 
 
 def estimate(a: str, b: str):
@@ -123,13 +129,16 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
         from quern.llm import hashing as H
 
-        bits = np.frombuffer(held.value, np.uint8)
+        bits, seen = np.frombuffer(held.value, np.uint8), set()
         for batch in batches:
             at = batch.column(2).to_numpy()
             keep = np.flatnonzero((bits[(at - 1) >> 3] >> ((at - 1) & 7).astype(np.uint8)) & 1)
-            if not len(keep):
+            # Rows that repeat a label and its text give their set once a task.
+            names = [*zip(batch.column(0).take(pa.array(keep)).to_pylist(), batch.column(3).take(pa.array(keep)).to_pylist())]
+            new = [i for i, x in enumerate(names) if not (x in seen or seen.add(x))]
+            if not new:
                 continue
-            some = batch.take(pa.array(keep))
+            some = batch.take(pa.array(keep[new]))
             data, offs = H.text_bytes(some.column(1))
             for i, j in H.slices(offs):
                 _, _, h, first = H.words(H.LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i])
@@ -139,115 +148,141 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                     [some.column(0).slice(i, j - i), pa.array([int(k[0]) for k in keys], pa.int64()), pa.array([int(k[1]) for k in keys], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
                     names=["label", "k1", "k2", "set"])
 
-    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("label"), "text").select("label", "text", b.alias("b"))
+    source = docs.select(label(), "text").select("label", "text", b.alias("b"), F.xxhash64("text").alias("h"))
     sets = source.mapInArrow(run, "label long, k1 long, k2 long, set binary")
-    # A repeated row gives its set again: the node asks for one.
+    # Several tasks may give the set: the node asks for one.
     return nodes.select("nid", "label", "k1", "k2").join(sets, ["label", "k1", "k2"]).groupBy("nid").agg(F.first("set").alias("set"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, with both sizes."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    The set of ``a`` goes ahead of those it is compared with, once for about SPLIT of them, and is held while they stream by.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        first, x = None, None
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for a, b, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                y = np.frombuffer(y.as_buffer(), np.uint64)
+                if b is None:
+                    first, x = a, y.copy()
+                    continue
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * common >= percent * (len(both) - common))
-            keep = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], names=["a", "b"])
+                if a != first:
+                    raise ValueError("a set is missing")
+                if 100 * common >= percent * (len(both) - common):
+                    found[0].append(a), found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["a", "b"])
 
-    sets = sets.select(F.col("nid").alias("a"), F.col("set").alias("x"))
-    both = pairs.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+    ahead = parts.join(sets.withColumnRenamed("nid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
+    behind = pairs.join(parts, "a").join(sets.withColumnRenamed("nid", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "set")
+    both = ahead.unionByName(behind).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return both.select("a", "b", "set").mapInArrow(run, "a long, b long")
 
 
 def across(members: DataFrame, floor: float, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in a bucket that may be similar; members: bucket, nid, comp, n, sketch.
 
-    A bucket of m members becomes groups of two blocks of about BLOCK members; groups are streamed in key order, so a
-    task holds one group. Only pairs that pass the size and signature tests leave it.
+    A bucket is its largest component and the others. The others, in blocks of about BLOCK members, meet each other and the blocks
+    of the largest, which don't meet among themselves. Groups of two blocks are streamed in key order, so a task holds one.
+    Only pairs that pass the size and signature tests leave it.
     """
-    size = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    m = members.join(size, "bucket").withColumn("i", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int"))
-    m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.select("bucket", F.least("i", "j").alias("g"), F.greatest("i", "j").alias("h"), "nid", "comp", "n", "sketch", "i")
+    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    size = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    size = size.select("bucket", F.col("top.comp").alias("top"), blocks(F.col("top.c")).alias("nl"), blocks(F.col("c") - F.col("top.c")).alias("no"))
+    m = members.join(size, "bucket").withColumn("large", F.col("comp") == F.col("top"))
+    m = m.withColumn("i", F.pmod(F.xxhash64("nid"), F.when(F.col("large"), F.col("nl")).otherwise(F.col("no"))).cast("int"))
+    group = lambda kind, g, h: F.struct(F.lit(kind).alias("kind"), g.cast("int").alias("g"), h.cast("int").alias("h"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    i = F.col("i")
+    each = F.when(F.col("large"), F.transform(upto("no"), lambda x: group(1, x, i))).otherwise(
+        F.concat(F.transform(upto("no"), lambda x: group(0, F.least(x, i), F.greatest(x, i))), F.transform(upto("nl"), lambda x: group(1, i, x))))
+    m = m.withColumn("at", F.explode(each)).select("bucket", F.col("at.kind").alias("kind"), F.col("at.g").alias("g"), F.col("at.h").alias("h"), "nid", "comp", "n", "sketch", "large", "i")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def pairs(nid, comp, n, sk, blk, diagonal):
-            x = sk[:, None, :] ^ sk[None, :, :]
-            unlike = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=2, dtype=np.int64)
+        def pairs(x, y, diagonal):
+            unlike = np.zeros((len(x[0]), len(y[0])), np.uint16)
+            for k in range(WORDS64):
+                d = x[3][:, None, k] ^ y[3][None, :, k]
+                unlike += np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555))
             chance = 2.0**-BITS
-            est = (1.0 - unlike / HASHES - chance) / (1.0 - chance)
-            ok = (est >= floor) & (comp[:, None] != comp[None, :]) & (nid[:, None] < nid[None, :])
-            ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-            if not diagonal:
-                ok &= blk[:, None] != blk[None, :]
+            most = np.floor((1.0 - chance - floor * (1.0 - chance)) * HASHES + 1e-9)
+            ok = (unlike <= most) & (x[1][:, None] != y[1][None, :])
+            ok &= 100 * np.minimum(x[2][:, None], y[2][None, :]) >= percent * np.maximum(x[2][:, None], y[2][None, :])
+            if diagonal:
+                ok &= x[0][:, None] < y[0][None, :]
             a, b = np.nonzero(ok)
-            return nid[a], nid[b]
+            a, b = x[0][a], y[0][b]
+            return np.minimum(a, b), np.maximum(a, b)
+
+        def group(held, key):
+            cols = [np.concatenate([r[k] for r in held]) for k in range(6)]
+            _, kind, g, h = key
+            if kind == 0 and g == h:
+                return pairs(cols, cols, True)
+            one = ~cols[4] if kind else cols[5] == g
+            return pairs([c[one] for c in cols], [c[~one] for c in cols], False)
 
-        def group(rows):
-            cols = [np.concatenate([r[k] for r in rows]) for k in range(6)]
-            key = rows[0][6]
-            return pairs(*cols[:3], cols[3], cols[4], key[1] == key[2])
+        def table(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         held, key = [], None
         for batch in batches:
-            c = [batch.column(i) for i in range(8)]
-            ks = np.stack([c[i].to_numpy() for i in range(3)], axis=1)
+            ks = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
             if not len(ks):
                 continue
             cut = [0, *(np.flatnonzero((ks[1:] != ks[:-1]).any(axis=1)) + 1), len(ks)]
-            sk = c[6].flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64)
-            nid, comp, n, blk = (c[i].to_numpy() for i in (3, 4, 5, 7))
+            nid, comp, n, i = (batch.column(k).to_numpy() for k in (4, 5, 6, 9))
+            sk, large = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64), batch.column(8).to_numpy(zero_copy_only=False)
             found = []
             for s, e in zip(cut[:-1], cut[1:]):
                 k = tuple(ks[s])
                 if held and k != key:
-                    found.append(group(held))
+                    found.append(group(held, key))
                     held = []
                 key = k
-                held.append((nid[s:e], comp[s:e], n[s:e], sk[s:e], blk[s:e], nid[s:e], k))
+                held.append((nid[s:e], comp[s:e], n[s:e], sk[s:e], large[s:e], i[s:e]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)], names=["a", "b"])
+                yield table(found)
         if held:
-            a, b = group(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield table([group(held, key)])
 
-    sorted_ = m.repartition("bucket", "g", "h").sortWithinPartitions("bucket", "g", "h").select("bucket", F.col("g").cast("long"), F.col("h").cast("long"), "nid", "comp", "n", "sketch", "i")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    keys = ["bucket", "kind", "g", "h"]
+    ordered = m.repartition(*keys).sortWithinPartitions(*keys).select("bucket", *[F.col(k).cast("long") for k in keys[1:]], "nid", "comp", "n", "sketch", "large", "i")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept (doc_id = component_id); a row per row of ``docs``.
 
     Words are runs of non-space bytes, A-Z lower-cased. Null and blank texts have an empty set and link with nothing:
-    their component is their own. Equal sets are linked whatever their length. Rows of null doc_id belong to the
-    component of the rows with an equal set, which those name; a set that only such rows have is linked with no other, its
-    component_id is null and its rows are kept. Rows that repeat a doc_id are all kept or all not, each by its own text.
-    Empty input gives no rows.
+    their component is their own. Equal sets are linked whatever their length. Rows of null doc_id link like others but name
+    nothing: the component_id of a component that only they form is null and its rows are kept. Rows that repeat a doc_id are
+    all kept or all not, each by its own text. Empty input gives no rows.
     """
     sigs = stage(signatures(docs, shingle), "signatures")
     full = sigs.where(F.col("k1").isNotNull())
-    nodes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = stage(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    named = nodes.where(F.col("label").isNotNull())
+    nodes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("name"), F.min("label").alias("other"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = stage(nodes.withColumn("label", F.coalesce("name", "other")).drop("other").withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
-    bands = named.select("nid", F.explode("bands").alias("bucket"))
+    bands = nodes.select("nid", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("nid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("bucket", "rep")
     members = stage(bands.join(shared, "bucket"), "buckets")
 
     floor = percent / 100 - SLACK
-    sketches = named.select("nid", "n", "sketch")
+    sketches = nodes.select("nid", "n", "sketch")
     star = members.where("nid <> rep").select(F.col("rep").alias("a"), F.col("nid").alias("b")).distinct()
     star = star.join(sketches.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
         sketches.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
@@ -257,7 +292,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-        return full_sets(docs, named.select("nid", "label", "k1", "k2").join(ids, "nid"), shingle)
+        return full_sets(docs, nodes.select("nid", "label", "k1", "k2").join(ids, "nid"), shingle)
 
     links = stage(confirm(first, sets_of(first), percent), "links")
     comp = stage(components(links), "components")
@@ -269,8 +304,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         extra = stage(confirm(more, sets_of(more), percent), "links")
         comp = stage(components(links.unionByName(extra)), "components")
 
-    tagged = nodes.select("k1", "k2", "label", "nid").join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    named_by = tagged.groupBy("component").agg(F.min("label").alias("component_id"))
+    tagged = nodes.select("k1", "k2", "name", "nid").join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    named_by = tagged.groupBy("component").agg(F.min("name").alias("component_id"))
     final = tagged.join(named_by, "component").select("k1", "k2", "component_id")
     drop_staged(members, first)
     linked = full.select("doc_id", "n_shingles", "k1", "k2").join(final, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")

@@ -76,7 +76,7 @@ def test_near_duplicates(docs, rows, n):
                 up[top(i)] = top(j)
     name = {}
     for i, r in enumerate(rows):
-        if r[0] is not None:
+        if r[0] is not None and sets[i]:
             name[top(i)] = min(name.get(top(i), r[0]), r[0])
     want = Counter()
     for i, r in enumerate(rows):
@@ -86,6 +86,54 @@ def test_near_duplicates(docs, rows, n):
     assert got == want
 
 
+def test_near_duplicates_of_no_rows(none):
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows of null doc_id link near copies: with each other, with named rows, and as a bridge between two of them."""
+    w = [f"w{i}" for i in range(100)]
+    change = lambda t, *at: [f"new{i}" if i in at else x for i, x in enumerate(t)]
+    far = change(w, *range(16))
+    bridge = change(w, *range(8))
+    u, v = [f"u{i}" for i in range(50)], [f"v{i}" for i in range(50)]
+    rows = [(3, w), (None, bridge), (4, far), (None, change(bridge, 99)), (None, u), (None, change(u, 3)), (8, v), (None, change(v, 4)), (None, change(v, 4)), (9, ["alone", "here"])]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string"), shingle=1).collect())
+    assert got == Counter([(3, 100, 3, True), (4, 100, 3, False), *[(None, 100, 3, False)] * 2, *[(None, 50, None, True)] * 2, (8, 50, 8, True), *[(None, 50, 8, False)] * 2, (9, 2, 9, True)])
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_near_duplicates_keep_every_pair(spark, monkeypatch, block):
+    """Families of near copies of near copies, in small blocks and splits: no link is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SPLIT", 3)
+    rng = random.Random(block)
+    texts = []
+    for _ in range(5):
+        family = [[f"x{rng.random()}" for _ in range(40)]]
+        for _ in range(30):
+            t = list(rng.choice(family))
+            for _ in range(rng.randint(1, 6)):
+                t[rng.randrange(40)] = f"y{rng.random()}"
+            family.append(t)
+        texts += family
+    sets = [set(t) for t in texts]
+    up = list(range(len(sets)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=1).collect()} == {i: top(i) for i in range(len(sets))}
+    assert len({top(i) for i in range(len(sets))}) > 10
+
+
 def test_near_duplicates_across_components(spark, monkeypatch):
     """A link that no star shows: a bucket whose members are linked in a chain, in blocks of two."""
     monkeypatch.setattr(minhash, "BLOCK", 2)
