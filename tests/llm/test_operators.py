@@ -178,8 +178,9 @@ def test_top_k(spark):
         want |= {(q, k + 1, i, -x) for k, (x, i) in enumerate(s)}
     from pyspark.sql import functions as F
 
-    for bucket in (16, 2048):
-        assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, bucket=bucket, queries=4).collect()} == want
+    for bucket, ask in ((3, 4), (16, 2), (2048, 4096)):
+        got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, bucket=bucket, queries=ask).collect()]
+        assert set(got) == want and len(got) == len(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert {tuple(r) for r in topk.top_k(df.where("vec_id in (0, 1)"), F.col("vec_id") % 50 == 0).collect()} == {(0, 1, 1, int(ok[0] @ ok[1]))}
 
