@@ -80,28 +80,32 @@ def slots(freq: np.ndarray) -> np.ndarray:
 
 def decode(words: np.ndarray, states: np.ndarray, places: np.ndarray, freq: np.ndarray, slot: np.ndarray, n: int, lanes: int, every: int,
            part: int | None = None, bits: int = BITS) -> np.ndarray:
-    """The ranks of a block, or of the steps between checkpoint ``part`` and the next."""
+    """The ranks of a block, or of the steps between checkpoint ``part`` and the next. The parts of a block, each from its own
+    checkpoint, decode side by side, one step of all of them at a time."""
     steps = -(-n // lanes)
-    first, last = (0, steps) if part is None else (part * every, min(steps, (part + 1) * every))
-    if first >= last:
-        return np.zeros(0, np.uint32)
+    first, last = (0, len(places)) if part is None else (part, part + 1)
     f = freq.astype(U)
     start = np.concatenate(([U(0)], np.cumsum(f)[:-1]))
-    k = 0 if part is None else part
-    state, at = states[k].copy(), int(places[k])
-    out = np.empty(min(n, last * lanes) - first * lanes, np.uint32)
+    state, at = states[first:last].copy(), places[first:last].copy()
+    # The last part may have fewer steps, and its last step fewer lanes.
+    length = np.minimum(every, steps - every * np.arange(first, last))
+    out = np.zeros((last - first, every, lanes), np.uint32)
     mask = U((1 << bits) - 1)
-    for step in range(first, last):
-        width = min(lanes, n - step * lanes)
-        s = state[:width]
+    for step in range(int(length.max(initial=0))):
+        k = last - first if step < length[-1] else last - first - 1
+        s = state[:k]
         low = s & mask
         r = slot[low.astype(np.int64)]
         s = f[r] * (s >> U(bits)) + low - start[r]
         need = s < U(LOW)
-        k = int(np.count_nonzero(need))
-        if k:
-            s[need] = (s[need] << U(32)) | words[at : at + k].astype(U)
-            at += k
-        state[:width] = s
-        out[(step - first) * lanes : (step - first) * lanes + width] = r
-    return out
+        if last == len(places) and k == last - first and (last - 1) * every + step == steps - 1:
+            need[-1, n - (steps - 1) * lanes :] = False
+        row, lane = np.nonzero(need)
+        if len(row):
+            taken = need.sum(axis=1)
+            before = np.cumsum(taken) - taken
+            s[row, lane] = (s[row, lane] << U(32)) | words[at[row] + np.arange(len(row)) - before[row]].astype(U)
+            at[:k] += taken
+        state[:k] = s
+        out[:k, step] = r
+    return out.reshape(-1)[: min(n, last * every * lanes) - first * every * lanes]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import drop_staged, stage, staged_path
 
-END_ID, LANES, EVERY, BLOCK_TOKENS, SEGMENT_TOKENS = 2, 512, 512, 1 << 19, 1 << 22
+END_ID, LANES, EVERY, BLOCK_TOKENS, SEGMENT_TOKENS, SALT = 2, 512, 128, 1 << 19, 1 << 22, 64
 
 
 def file_system(url: str):
@@ -106,7 +106,8 @@ def read_block(data: bytes, symbols, freq, slot) -> tuple[list[int | None], list
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Write the files to ``folder``; returns their index, one row per block (itself a table in the shared folder).
 
-    Rows go by doc_id, null first, ties by text. Null text is empty: the end id alone. Empty input: no files.
+    Rows go by doc_id, null first, ties by a hash of the text. Null text is empty: the end id alone. Empty input: no files.
+    Files are cut by (doc_id, text hash, salt), so rows that share a doc_id, or are the same, may go on in the next file.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -149,8 +150,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), *[pa.int64()] * 5))],
             names=["part", "file", "segment", "at", "n_bytes", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    index = ordered.mapInArrow(run, "part int, file string, segment long, at long, n_bytes long, n_docs long, n_tokens long")
+    keys = ["doc_id", "_hash", "_salt"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), (F.monotonically_increasing_id() % SALT).alias("_salt"))
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    index = ordered.select("doc_id", "text").mapInArrow(run, "part int, file string, segment long, at long, n_bytes long, n_docs long, n_tokens long")
     return stage(index, "index")
 
 

@@ -327,6 +327,40 @@ def test_best_two_fit():
     assert packing.best_two_fit({60: 1, 30: 1, 25: 1, 15: 1}, 100)[0] == ({60: 1, 25: 1, 15: 1}, 1)
 
 
+def test_best_two_fit_piece_by_piece():
+    """The histogram's bins against the rule applied to single pieces, searching all pairs."""
+
+    def plain(lengths, cap):
+        left, bins = sorted(lengths, reverse=True), []
+        while left:
+            own, gap = [], cap
+            for n in list(left):  # greedily: the longest that fits
+                if n <= gap:
+                    own.append(n), left.remove(n)
+                    gap -= n
+            small = min(own)
+            best = max(((left[i] + left[j]) for i in range(len(left)) for j in range(i) if small < left[i] + left[j] <= gap + small), default=0) if gap else 0
+            if best:  # of pairs that fit equally, that of the shortest piece
+                pair = min(sorted((left[i], left[j])) for i in range(len(left)) for j in range(i) if left[i] + left[j] == best)
+                own.remove(small)
+                for n in pair:
+                    own.append(n), left.remove(n)
+                left.append(small)
+                left.sort(reverse=True)
+            bins.append(tuple(sorted(own)))
+        return bins
+
+    rng = random.Random(14)
+    for _ in range(300):
+        lengths = [rng.randint(1, rng.choice((12, 60, 100))) for _ in range(rng.randint(0, 40))]
+        # The histogram's way repeats a pattern while the pieces last; piece by piece the same bins come again and again.
+        made = [tuple(sorted(Counter(p).elements())) for p, n in packing.best_two_fit(Counter(lengths), 100) for _ in range(n)]
+        want = plain(lengths, 100)
+        assert len(made) <= len(want) + 1 and sum(map(sum, made)) == sum(lengths)
+        if len(set(lengths)) == len(lengths):
+            assert made == want
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -518,13 +552,23 @@ def test_token_files(docs, rows, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     at, want = 0, []
-    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    spark = docs.sparkSession
+    texts = [r[1] for r in rows]
+    hashed = spark.createDataFrame(list(enumerate(texts)), "i long, t string").selectExpr("i", "xxhash64(t) AS h").collect()
+    key = {texts[r.i]: r.h for r in hashed}
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, key[r[1]])):
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [2]
         want.append((r[0], at, len(ids), struct.pack(f"<{len(ids)}I", *ids)))
         at += len(ids)
     got = tokenfiles.round_trip(docs, path).collect()
     assert Counter((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in got) == Counter(want)
     assert tokenfiles.round_trip(none, path).count() == 0
+    hot = spark.createDataFrame([(None if i % 3 else 5, f"text {i % 7}") for i in range(300)], "doc_id long, text string").repartition(4)
+    back = tokenfiles.round_trip(hot, path).collect()
+    order = sorted(back, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == [None] * 200 + [5] * 100
+    assert [r.start for r in order] == [sum(x.n_tokens for x in order[:i]) for i in range(300)]
+    assert Counter((r.doc_id, bytes(r.ids)) for r in back) == Counter((None if i % 3 else 5, struct.pack("<3I", *t.encode(f"text {i % 7}", add_special_tokens=False).ids, 2)) for i in range(300))
 
 
 def test_rans_parts_and_damage(monkeypatch):
