@@ -48,7 +48,9 @@ def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
+    """``text`` is what stays, with U+FFFD where half a character is left."""
+    found = suffixdedup.dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("rest").cast("string")).alias("text"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
