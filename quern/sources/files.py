@@ -71,6 +71,59 @@ def read_cliques(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.transform(F.split("value", ";"), lambda x: x.cast("long")).alias("members"))
 
 
+def write_communities(members: DataFrame, path: str) -> None:
+    """A line per community of its members (community, v), smallest first, blanks between: what overlap measures read."""
+    line = F.array_join(F.transform(F.sort_array(F.collect_set("v")), lambda x: x.cast("string")), " ")
+    members.groupBy("community").agg(line.alias("value")).select("value").write.text(path)
+
+
+def read_communities(spark: SparkSession, path: str) -> DataFrame:
+    """members (array) of each line."""
+    return spark.read.text(path).where("trim(value) <> ''").select(F.transform(F.split(F.trim("value"), " +"), lambda x: x.cast("long")).alias("members"))
+
+
+def write_annotations(sample: DataFrame, annotators: list[str], path: str) -> None:
+    """A sheet to fill in: the sample's columns, then one column for each annotator (empty unless the sample has it)."""
+    have = sample.columns
+    sample.select(*[c for c in have if c not in annotators], *[F.col(a) if a in have else F.lit(None).cast("string").alias(a) for a in annotators]).write.option("header", True).csv(path, sep=";")
+
+
+def read_annotations(spark: SparkSession, path: str, keys: list[str], annotators: list[str]) -> DataFrame:
+    """keys, annotator, mark: one row for each mark that was set."""
+    sheet = spark.read.option("header", True).csv(path, sep=";")
+    return sheet.unpivot(keys, annotators, "annotator", "mark").where("trim(mark) <> ''")
+
+
+def write_conversations(turns: DataFrame, path: str) -> None:
+    """conv_id, turn, role, text as ;-separated lines; separators in texts become _."""
+    from quern.functions.text import csv_field
+
+    turns.select(F.concat_ws(";", F.col("conv_id").cast("string"), F.col("turn").cast("string"), csv_field(F.col("role")), csv_field(F.col("text"))).alias("value")).write.text(path)
+
+
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    p = F.split("value", ";", 4)
+    return spark.read.text(path).select(p[0].cast("long").alias("conv_id"), p[1].cast("long").alias("turn"), p[2].alias("role"), p[3].alias("text"))
+
+
+HMM = "start array<double>, move array<array<double>>, mean array<double>, var array<double>"
+
+
+def encode_hmm(start: Column, move: Column, mean: Column, var: Column) -> Column:
+    """The parameters of a hidden Markov model as one line of JSON."""
+    return F.to_json(F.struct(start.alias("start"), move.alias("move"), mean.alias("mean"), var.alias("var")))
+
+
+def decode_hmm(line: Column) -> Column:
+    return F.from_json(line, HMM)
+
+
+def event_days(events: DataFrame, boundaries: bool = False) -> DataFrame:
+    """day, n from events (first, last as dates): every day of an event counts, or with ``boundaries`` its first and last only."""
+    days = F.array_distinct(F.array("first", "last")) if boundaries else F.sequence("first", "last")
+    return events.where("first <= last").select(F.explode(days).alias("day")).groupBy("day").agg(F.count("*").alias("n"))
+
+
 RESULTS = "date string, variant string, entity string, jsd double, cosine double, zero_one double"
 
 
