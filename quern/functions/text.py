@@ -51,10 +51,41 @@ def tokens(text: Column, keep_urls: bool = False, stop: frozenset[str] = frozens
 
 
 def url_tokens(url: Column) -> Column:
-    """Words of a link's host, path and query: decoded, camel case cut, letters and digits only, integers dropped."""
-    whole = F.concat_ws("_", F.try_parse_url(url, F.lit("HOST")), F.try_parse_url(url, F.lit("PATH")), F.try_parse_url(url, F.lit("QUERY")))
-    cut = F.regexp_replace(whole, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.filter(F.split(F.lower(cut), "[^a-z0-9]+"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
+    """The words of a link: its host, its query, and the parts of its decoded path, capitals cut off, without integers. A link
+    that can't be parsed or decoded has none."""
+    host, query = F.try_parse_url(url, F.lit("HOST")), F.try_parse_url(url, F.lit("QUERY"))
+    path = F.try_url_decode(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+    parts = F.split(F.lower(F.regexp_replace(path, "([A-Z])", "_$1")), r"[^\p{L}\p{N}]+")
+    words = F.filter(parts, lambda x: (x != "") & ~(x.rlike("^[0-9]+$") & x.try_cast("int").isNotNull()))
+    return F.when(path.isNotNull(), F.concat(F.array_compact(F.array(host, query)), words)).otherwise(F.array().cast("array<string>"))
+
+
+SHORTENERS = ("t.co", "bit.ly", "goo.gl", "tinyurl.com", "ow.ly", "is.gd")
+
+
+def is_short_url(url: Column, shorteners: tuple[str, ...] = SHORTENERS) -> Column:
+    return url.rlike(r"^(https?://|www\.)(" + "|".join(x.replace(".", r"\.") for x in shorteners) + ")")
+
+
+def emoji_pattern(lines: list[str]) -> str:
+    """A regular expression of the sequences in lines of Unicode's emoji files (`1F600..1F64F ; ...`, `1F468 200D 1F469 ; ...`,
+    # comments): longer sequences come first, as the longest match counts."""
+    found: set[tuple[str, ...]] = set()
+    for line in lines:
+        line = line.split("#")[0].split(";")[0].strip()
+        if ".." in line:
+            a, b = line.split("..")
+            found.add((a.strip(), b.strip(), "range"))
+        elif line:
+            found.add(tuple(line.split()))
+    one = lambda x: rf"\x{{{x}}}"
+    texts = [f"[{one(x[0])}-{one(x[1])}]" if x[-1] == "range" else "".join(map(one, x)) for x in sorted(found, key=lambda x: (-(1 if x[-1] == "range" else len(x)), x))]
+    return "(?:" + "|".join(texts) + ")"
+
+
+def emoji_segments(text: Column, pattern: str) -> Column:
+    """The parts of a text: each emoji alone, the stretches between them whole."""
+    return F.filter(F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK), lambda x: x != "")
 
 
 MENTION = r"(?:(?:RT|via) )?@([a-zA-Z0-9_]{2,15})(?:\s|$)"
@@ -64,6 +95,11 @@ def mentions(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))
 
 
+def indicators(text: Column) -> Column:
+    """All mentions with what leads them: @name, RT @name or via @name."""
+    return F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
+
+
 def is_addressive(text: Column) -> Column:
     """Starts with a mention that is no repost."""
     return text.rlike(r"^@[a-zA-Z0-9_]{2,15}(?:\s|$)")

@@ -125,3 +125,80 @@ def present(v: Column | str) -> Column:
 
 def cumulative(v: Column | str) -> Column:
     return F.transform(c(v), lambda x, i: total(F.slice(c(v), F.lit(1), i + 1)))
+
+
+def select_topics(v: Column | str, prior: Column | str, least: float) -> Column:
+    """The components whose prior reaches ``least``, as (topic, p), made to add up to 1 again: topics of noise go."""
+    kept = F.filter(F.transform(c(v), lambda x, i: F.struct(i.cast("int").alias("topic"), x.alias("p"), F.get(c(prior), i).alias("q"))), lambda s: s["q"] >= least)
+    s = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["p"])
+    return F.transform(kept, lambda x: F.struct(x["topic"].alias("topic"), F.when(s == 0, x["p"]).otherwise(x["p"] / s).alias("p")))
+
+
+def differs(v: Column | str, prior: Column | str, least: float = 1e-14) -> Column:
+    """Whether a distribution says more than its prior."""
+    return jsd_2(v, prior) >= least
+
+
+def live_components(series: Column | str, tiny: float = 1e-7) -> Column:
+    """Indexes of the components that are not 0 (up to ``tiny``) at every step of an array of vectors."""
+    first = F.get(c(series), F.lit(0))
+    return F.filter(F.transform(first, lambda x, i: i.cast("int")), lambda i: F.exists(c(series), lambda v: F.abs(F.get(v, i)) > tiny))
+
+
+def centred(series: Column | str) -> Column:
+    """Each component of an array of vectors less its mean over the steps."""
+    n = F.size(c(series))
+    mean = F.transform(F.get(c(series), F.lit(0)), lambda x, i: F.aggregate(c(series), F.lit(0.0), lambda a, v: a + F.get(v, i)) / n)
+    return F.transform(c(series), lambda v: F.zip_with(v, mean, lambda x, m: x - m))
+
+
+def side_by_side(a: Column | str, b: Column | str) -> Column:
+    """Two series of equal length as one of longer vectors."""
+    return F.zip_with(c(a), c(b), lambda x, y: F.concat(x, y))
+
+
+def transpose(series: Column | str) -> Column:
+    """Steps by components turned into components by steps."""
+    return F.transform(F.get(c(series), F.lit(0)), lambda x, i: F.transform(c(series), lambda v: F.get(v, i)))
+
+
+def kth_permutation(k: Column, n: int) -> Column:
+    """The k-th (from 0) of the permutations of 0 .. n - 1 in lexical order, by the digits of k in factorial base."""
+    rest, out, left = k, [], F.array(*[F.lit(i) for i in range(n)])
+    size = 1
+    for i in range(2, n):
+        size *= i
+    for i in range(n - 1, -1, -1):
+        at = F.floor(rest / size).cast("int") if i else F.lit(0)
+        out.append(F.get(left, at))
+        left = F.concat(F.slice(left, F.lit(1), at), F.slice(left, at + 2, F.lit(n)))
+        rest = rest % size
+        size = size // i if i else 1
+    return F.array(*out)
+
+
+def gaussian(x: Column, mean: Column, sd: Column) -> Column:
+    return F.exp(-F.pow((x - mean) / sd, 2) / 2) / (sd * F.sqrt(F.lit(2 * 3.141592653589793)))
+
+
+def log_normal(x: Column, mean: Column, sd: Column) -> Column:
+    """Density at x > 0 of a value whose logarithm is normal."""
+    return gaussian(F.ln(x), mean, sd) / x
+
+
+def level_bounds(mean: Column, sd: Column, density: Column) -> Column:
+    """Where a Gaussian passes a density: the two places as an array, empty if its peak is lower."""
+    half = sd * F.sqrt(-2 * F.ln(density * sd * F.sqrt(F.lit(2 * 3.141592653589793))))
+    return F.when(density * sd * F.sqrt(F.lit(2 * 3.141592653589793)) <= 1, F.array(mean - half, mean + half)).otherwise(F.array().cast("array<double>"))
+
+
+def hmm_parameters(states: Column) -> Column:
+    return states * states + 2 * states - 1
+
+
+def art_parameters(pairs: Column, topics: Column, words: Column) -> Column:
+    return pairs * (topics - 1) + topics * (words - 1)
+
+
+def social_parameters(pairs: Column, states: Column, topics: Column, words: Column) -> Column:
+    return states * pairs * (topics + states - 2) + topics * (words - 1)

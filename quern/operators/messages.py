@@ -164,14 +164,6 @@ def token_stats(spark, d):
         F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("sd"), F.percentile("n", F.lit(0.5)).alias("median"))
 
 
-def taxonomy(spark, d):
-    """Conversation turns by what they hold: mentions, links, digits, question, shouting, length class."""
-    t = social.table(spark, d, "conversations")
-    f = t.select("role", F.col("text").rlike("@[a-zA-Z0-9_]{2,15}").alias("mention"), F.col("text").rlike("https?://").alias("link"), F.col("text").rlike("[0-9]").alias("digit"),
-        F.col("text").contains("?").alias("question"), F.col("text").contains("!").alias("shout"), F.when(F.length("text") < 100, 0).when(F.length("text") < 500, 1).otherwise(2).alias("len"))
-    return f.groupBy("role", "mention", "link", "digit", "question", "shout", "len").agg(F.count("*").alias("n"))
-
-
 def event_days(spark, d):
     e = social.table(spark, d, "events")
     days = e.select(F.to_date("ts").alias("s"), F.date_add(F.to_date("ts"), (F.col("event_id") % 3).cast("int")).alias("t"))
@@ -213,8 +205,6 @@ QUERIES = {
       FROM events WHERE NOT (second(ts) = 0 AND minute(ts) IN (0, 30))) GROUP BY GROUPING SETS ((y, m), (m), (dow), (h))"""),
     "token_stats": (token_stats, """SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(coalesce(stddev_samp(n), 0), 6) AS sd, quantile_cont(n, 0.5) AS median
       FROM (SELECT CAST(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS INTEGER) AS n FROM documents)"""),
-    "taxonomy": (taxonomy, """SELECT role, regexp_matches(text, '@[a-zA-Z0-9_]{2,15}') AS mention, regexp_matches(text, 'https?://') AS link, regexp_matches(text, '[0-9]') AS digit, contains(text, '?') AS question, contains(text, '!') AS shout,
-      CAST(CASE WHEN length(text) < 100 THEN 0 WHEN length(text) < 500 THEN 1 ELSE 2 END AS INTEGER) AS len, count(*) AS n FROM conversations GROUP BY ALL"""),
     "event_days": (event_days, "SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT unnest(generate_series(CAST(ts AS DATE), CAST(ts AS DATE) + CAST(event_id % 3 AS INTEGER), INTERVAL 1 DAY)) AS day FROM events) GROUP BY 1"),
     "backdated": (backdated, "SELECT event_id FROM events WHERE second(ts) = 0 AND minute(ts) IN (0, 30)"),
     "event_type_counts": (event_type_counts, sql("SELECT event_type, cls, count(*) AS n, count(DISTINCT sender) AS senders FROM classified GROUP BY ALL")),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import graphs, messages, models, neighbourhood, storage, text, theta, windows
+from quern.operators import graphs, messages, models, neighbourhood, storage, text, theta, vector_queries, windows
 
-MODULES = (messages, theta, windows, graphs, models, neighbourhood, text, storage)
+MODULES = (messages, theta, windows, graphs, models, neighbourhood, text, storage, vector_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
