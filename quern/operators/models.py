@@ -286,7 +286,7 @@ def user_sequences(spark, d: str) -> DataFrame:
     return m.groupBy(F.col("sender").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "id", F.ln("delta").alias("x")))), lambda s: s["x"]).alias("x")).withColumn("complete", F.col("id") % 2 == 0)
 
 
-# Influence ------------------------------------------------------------------------------------------------------------------
+# Networks of causes ------------------------------------------------------------------------------------------------------------------
 
 
 def aligned(edges: DataFrame, series: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -35,3 +36,19 @@ def drop(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+SALT = 64
+
+
+def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds rank (from 0, by ``order``) over the whole table: rows go to balanced ranges, ranks are places in a range plus the counts
+    of the ranges before, a table of one row per range. Rows that are equal in ``order`` are ranked in any order."""
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    salted = df.withColumn("_salt", F.monotonically_increasing_id() % SALT)
+    placed = cut(salted.repartitionByRange(*cols, F.col("_salt")).sortWithinPartitions(*cols, F.col("_salt")).drop("_salt").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    per = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    per = per.select("_part", before.alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(per), "_part").withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")

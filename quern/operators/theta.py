@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators.messages import ADDR, NON_ADDR, SHARED, classified, in_slice
+from quern.operators.tables import cut, ranked
 from quern.sources import social
 from quern.sources.social import TOPICS, sql
 
@@ -76,16 +77,23 @@ def exploded(df: DataFrame, keys: list[str], col: str = "theta") -> DataFrame:
 def complement_edges(vertices: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """n pairs without an edge, in hash order. Sampled sources and targets are paired by rank: V x V is never formed.
 
-    Draws n * 4 ordered pairs by hashing a counter into the vertex ranks, drops loops, doubles and edges, keeps n.
+    Draws ordered pairs by hashing a counter into the vertex ranks, drops loops, doubles and edges, keeps the first n. The counter
+    goes to 4 n and then on, twice as far each time, until there are n; a graph with fewer than n free pairs is an error.
     """
-    w = Window.orderBy("id")
-    ranked = vertices.select("id", (F.row_number().over(w) - 1).cast("long").alias("r"))
-    size = vertices.agg(F.count("*").alias("size"))
-    spark = vertices.sparkSession
-    draw = spark.range(n * 4).crossJoin(F.broadcast(size)).select("id", (F.conv(F.substring(F.md5(F.concat(F.lit("a"), "id")), 1, 12), 16, 10).cast("long") % F.col("size")).alias("ra"),
-        (F.conv(F.substring(F.md5(F.concat(F.lit("b"), "id")), 1, 12), 16, 10).cast("long") % F.col("size")).alias("rb")).where("ra <> rb")
-    p = draw.join(ranked.select(F.col("id").alias("src"), F.col("r").alias("ra")), "ra").join(ranked.select(F.col("id").alias("dst"), F.col("r").alias("rb")), "rb")
-    return p.groupBy("src", "dst").agg(F.min("id").alias("k")).join(edges, ["src", "dst"], "left_anti").orderBy("k").limit(n).select("src", "dst")
+    ranks = cut(ranked(vertices.select("id"), "id").withColumnRenamed("rank", "r"))
+    size = ranks.count()
+    loops = edges.where("src <> dst").distinct().count()
+    if size * (size - 1) - loops < n:
+        raise ValueError(f"there are fewer than {n} pairs without an edge")
+    spark, draws = vertices.sparkSession, 4 * n
+    part = lambda letter: (F.conv(F.substring(F.md5(F.concat(F.lit(letter), "id")), 1, 12), 16, 10).cast("long") % F.lit(size))
+    while True:
+        draw = spark.range(draws).select("id", part("a").alias("ra"), part("b").alias("rb")).where("ra <> rb")
+        p = draw.join(ranks.select(F.col("id").alias("src"), F.col("r").alias("ra")), "ra").join(ranks.select(F.col("id").alias("dst"), F.col("r").alias("rb")), "rb")
+        found = cut(p.groupBy("src", "dst").agg(F.min("id").alias("k")).join(edges, ["src", "dst"], "left_anti").orderBy("k").limit(n).select("src", "dst"))
+        if found.count() == n:
+            return found
+        draws *= 2
 
 
 # Queries ----------------------------------------------------------------------------------------------------------
@@ -197,15 +205,30 @@ def similarity_bh(spark, d):
     return r.withColumn("k", k).where("i <= k").select("src", "dst", "p")
 
 
+def longest_runs(edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """src, dst, start, length: per edge the longest run of steps (user, i) where both are present; a run may take one more step at
+    which dst alone is. The first of equals; edges without a common step are left out.
+
+    Present steps are few rows of each edge; islands come from a row number, the step after an island from a join.
+    """
+    dst = edges.join(steps.select(F.col("user").alias("dst"), "i"), "dst")
+    both = dst.join(steps.select(F.col("user").alias("src"), "i"), ["src", "i"], "left_semi")
+    r = both.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("src", "dst").orderBy("i")))
+    runs = r.groupBy("src", "dst", "g").agg(F.min("i").alias("start"), F.max("i").alias("last"))
+    tail = dst.select("src", "dst", (F.col("i") - 1).alias("last"), F.lit(1).alias("more"))
+    runs = runs.join(tail, ["src", "dst", "last"], "left").withColumn("length", F.col("last") - F.col("start") + 1 + F.coalesce("more", F.lit(0)))
+    best = runs.groupBy("src", "dst").agg(F.max(F.struct("length", -F.col("start"))).alias("b"))
+    return best.select("src", "dst", (-F.col("b.col2")).alias("start"), F.col("b.length").cast("long").alias("length"))
+
+
+def week_steps(spark, d):
+    return weekly_theta(spark, d).select("user", (F.datediff("week", F.lit("2024-01-01")) / 7).cast("int").alias("i"))
+
+
 def longest_run(spark, d):
-    """Per edge the longest run of weeks where both have a theta; the first of equals."""
-    t = weekly_theta(spark, d).select("user", "week")
-    both = social.explicit_edges(spark, d).join(t.select(F.col("user").alias("src"), "week"), "src").join(t.select(F.col("user").alias("dst"), "week"), ["dst", "week"])
-    step = (F.datediff("week", F.lit("2024-01-01")) / 7).cast("int")
-    r = both.withColumn("i", step).withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("src", "dst").orderBy("i")))
-    runs = r.groupBy("src", "dst", "g").agg(F.min("i").alias("start"), F.count("*").alias("length"))
-    w = Window.partitionBy("src", "dst").orderBy(F.desc("length"), "start")
-    return runs.withColumn("k", F.row_number().over(w)).where("k = 1").select("src", "dst", "start", "length")
+    """Users of even id are absent in every third week, so that runs end early."""
+    t = week_steps(spark, d).where("NOT (user % 2 = 0 AND (i + user) % 3 = 2)")
+    return longest_runs(social.explicit_edges(spark, d), t)
 
 
 def weekly_fill(spark, d):
@@ -263,6 +286,8 @@ QUERIES = {
     "similarity_by_influencer": (similarity_by_influencer, sql("SELECT src, count(*) AS n, round(avg(similarity), 6) AS mean, round(max(similarity), 6) AS most FROM s GROUP BY 1", WT, TH, CH, similar("p"))),
     "similarity_histogram": (similarity_histogram, sql("SELECT CAST(ceil(round(similarity, 6) * 20) AS BIGINT) AS bin, count(*) AS n, round(avg(active), 6) AS active FROM s WHERE similarity > 0 GROUP BY 1", WT, TH, CH, similar("p"))),
     "similarity_bh": (similarity_bh, sql("SELECT src, dst, p FROM (SELECT *, max(CASE WHEN p <= i / n * 0.9 THEN i END) OVER (PARTITION BY dst) AS k FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY p, src) AS i, count(*) OVER (PARTITION BY dst) AS n FROM (SELECT src, dst, round(1 - round(similarity, 6) * 4, 6) AS p FROM s))) WHERE i <= k", WT, TH, CH, similar("p"))),
-    "longest_run": (longest_run, sql("SELECT src, dst, CAST(start AS INTEGER) AS start, length FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY length DESC, start) AS k FROM (SELECT src, dst, g, min(i) AS start, count(*) AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY src, dst ORDER BY i) AS g FROM (SELECT e.src, e.dst, date_diff('day', DATE '2024-01-01', CAST(a.week AS DATE)) // 7 AS i FROM explicit_edges e JOIN (SELECT DISTINCT u, week FROM wt) a ON a.u = e.src JOIN (SELECT DISTINCT u, week FROM wt) b ON b.u = e.dst AND b.week = a.week)) GROUP BY ALL)) WHERE k = 1", WT)),
+    "longest_run": (longest_run, sql("""SELECT src, dst, CAST(start AS INTEGER) AS start, CAST(length AS BIGINT) AS length FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY length DESC, start) AS k FROM (SELECT r.src, r.dst, r.start, r.last - r.start + 1 + CASE WHEN EXISTS (SELECT 1 FROM ws w WHERE w.u = r.dst AND w.i = r.last + 1) THEN 1 ELSE 0 END AS length
+      FROM (SELECT src, dst, g, min(i) AS start, max(i) AS last FROM (SELECT e.src, e.dst, a.i, a.i - row_number() OVER (PARTITION BY e.src, e.dst ORDER BY a.i) AS g FROM explicit_edges e JOIN ws a ON a.u = e.src JOIN ws b ON b.u = e.dst AND b.i = a.i) GROUP BY ALL) r)) WHERE k = 1""",
+      WT, "ws AS (SELECT DISTINCT u, date_diff('day', DATE '2024-01-01', CAST(week AS DATE)) // 7 AS i FROM wt WHERE NOT (u % 2 = 0 AND (date_diff('day', DATE '2024-01-01', CAST(week AS DATE)) // 7 + u) % 3 = 2))")),
     "weekly_fill": (weekly_fill, sql("SELECT u.id AS \"user\", strftime(w.week, '%Y-%m-%d') AS week, coalesce(c.n, 0) AS n FROM users u CROSS JOIN (SELECT TIMESTAMP '2024-01-01' + to_days(7 * CAST(k AS INTEGER)) AS week FROM (SELECT unnest(range(5)) AS k)) w LEFT JOIN (SELECT sender, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-05') AS week, count(*) AS n FROM classified GROUP BY ALL) c ON c.sender = u.id AND c.week = w.week")),
 }

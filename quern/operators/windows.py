@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.messages import ADDR, classified, epoch, links
-from quern.operators.tables import cut
+from quern.operators.tables import cut, drop, ranked
 from quern.operators.theta import weekly
 from quern.sources import social
 from quern.sources.social import sql
 
 
+#: Rounds double the reach of a pointer: 40 pass any depth; links that go on are a cycle.
+MOST_ROUNDS = 40
+
+
 def neighbours(m: DataFrame, *keys: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("ts", "id")
     return m.withColumn("prev_id", F.lag("id").over(w)).withColumn("next_id", F.lead("id").over(w))
@@ -25,14 +29,20 @@ def roots(link: DataFrame) -> DataFrame:
     tree = link.where("parent IS NOT NULL").select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).alias("depth"))
     heads = tree.select(F.col("up").alias("node")).join(tree.select("node"), "node", "left_anti").distinct().select("node", F.col("node").alias("up"), F.lit(0).alias("depth"))
     single = link.where("parent IS NULL").select(F.col("child").alias("node")).join(tree.select(F.col("up").alias("node")), "node", "left_anti").select("node", F.col("node").alias("up"), F.lit(0).alias("depth"))
-    cur = tree.unionByName(heads).unionByName(single)
-    cur = cut(cur)
-    while True:
-        a, b = cur.alias("a"), cur.alias("b")
-        nxt = cut(a.join(b, F.col("a.up") == F.col("b.node")).select(F.col("a.node"), F.col("b.up"), (F.col("a.depth") + F.col("b.depth")).alias("depth")))
-        if not nxt.join(cur.select("node", F.col("up").alias("_u")), "node").where("up <> _u").limit(1).count():
-            return nxt.select("node", F.col("up").alias("root"), "depth")
-        cur = nxt
+    # Nodes whose pointer is at a root are done; only the others go on, and meet all.
+    top = heads.unionByName(single)
+    tops, done, cur = top.select(F.col("node").alias("up")), cut(top), cut(tree)
+    for _ in range(MOST_ROUNDS):
+        at_root = cut(cur.join(tops, "up", "left_semi").select("node", "up", "depth"))
+        left = cut(cur.join(tops, "up", "left_anti").select("node", "up", "depth"))
+        done = done.unionByName(at_root)
+        drop(cur)
+        if not left.limit(1).count():
+            return done.select("node", F.col("up").alias("root"), "depth")
+        x, y = left.alias("x"), done.unionByName(left).alias("y")
+        cur = cut(x.join(y, F.col("x.up") == F.col("y.node")).select(F.col("x.node"), F.col("y.up"), (F.col("x.depth") + F.col("y.depth")).alias("depth")))
+        drop(left)
+    raise ValueError("links form a cycle")
 
 
 def fixed_slices(m: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -148,8 +158,8 @@ def train_test_split(spark, d):
 
 
 def systematic_sample(spark, d):
-    w = Window.orderBy("value", "event_id")  # a report over sorted values; every 50th stays
-    return social.table(spark, d, "events").where("event_type = 'purchase'").withColumn("r", F.row_number().over(w)).where("r % 50 = 0").select("event_id", "value")
+    """Every 50th purchase in the order of its value."""
+    return ranked(social.table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "value"), "value", "event_id").where("(rank + 1) % 50 = 0").select("event_id", "value")
 
 
 def hash_sample(spark, d):
@@ -163,7 +173,10 @@ def running_total(spark, d):
 
 
 def dev_folds(spark, d):
-    return social.users(spark, d).select("id", F.ntile(10).over(Window.orderBy("id")).alias("fold"))
+    """Ten runs of users in order of id, of equal size but for the last, which has the remainder too."""
+    u = social.users(spark, d).select("id")
+    size = u.agg(F.greatest(F.floor(F.count("*") / 10), F.lit(1)).alias("size"))  # one row
+    return ranked(u, "id").crossJoin(F.broadcast(size)).select("id", (F.least(F.floor(F.col("rank") / F.col("size")), F.lit(9)) + 1).cast("int").alias("fold"))
 
 
 LK = "lk AS (SELECT c.id AS child, p.id AS parent FROM messages c LEFT JOIN messages p ON p.id = c.parent_id WHERE c.parent_id IS NOT NULL AND (p.ts IS NULL OR c.ts >= p.ts))"
@@ -189,5 +202,5 @@ QUERIES = {
     "systematic_sample": (systematic_sample, "SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY value, event_id) AS r FROM events WHERE event_type = 'purchase') WHERE r % 50 = 0"),
     "hash_sample": (hash_sample, sql("SELECT src, dst FROM explicit_edges ORDER BY md5(src || ',' || dst) LIMIT 100")),
     "running_total": (running_total, "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS total FROM orders"),
-    "dev_folds": (dev_folds, sql("SELECT id, CAST(ntile(10) OVER (ORDER BY id) AS INTEGER) AS fold FROM users")),
+    "dev_folds": (dev_folds, sql("SELECT id, CAST(least((row_number() OVER (ORDER BY id) - 1) // greatest((SELECT count(*) FROM users) // 10, 1), 9) + 1 AS INTEGER) AS fold FROM users")),
 }
