@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
-from quern.operators.graphs import components, two_hop
+from quern.operators.graphs import two_hop
 from quern.operators.messages import ADDR, NON_ADDR, SHARED, classified
 from quern.operators.theta import exploded, theta, weekly_theta
 from quern.sources import social
@@ -229,14 +229,6 @@ def anova_prep(spark, d):
     return balanced_partition(m.groupBy(F.col("sender").alias("id")).agg(mask.alias("mask")), 5)
 
 
-def homogeneous(spark, d):
-    """Groups of weeks whose mean errors differ by less than 0.02: components of the closeness graph."""
-    b = baseline_jsd(spark, d).where("variant = 'PREVIOUS'").select(F.datediff(F.to_date("week"), F.lit("2024-01-01").cast("date")).cast("long").alias("id"), "jsd")
-    x, y = b.alias("x"), b.alias("y")
-    close = x.join(y, (F.abs(F.col("x.jsd") - F.col("y.jsd")) < 0.02) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"))  # one row per week
-    return components(close)
-
-
 FE = """fe AS (SELECT u.id AS candidate, (SELECT count(*) FROM explicit_edges e WHERE e.dst = u.id) AS n_in, (SELECT count(*) FROM explicit_edges e WHERE e.src = u.id) AS n_out,
   (SELECT count(*) FROM classified m WHERE m.sender = u.id AND cls = 'NON_ADDR') AS non_addr, (SELECT count(*) FROM classified m WHERE m.sender = u.id AND cls = 'ADDR') AS addr_out,
   (SELECT count(*) FROM classified m WHERE m.other = u.id AND cls = 'SHARED') AS got_shared, (SELECT count(*) FROM classified m WHERE m.other = u.id AND cls = 'ADDR') AS addr_in FROM users u)"""
@@ -274,5 +266,4 @@ QUERIES = {
     "completeness": (completeness, sql("SELECT id, completeness FROM co", CO)),
     "pearson": (pearson, sql("SELECT count(*) AS n, round(corr(completeness, jsd), 6) AS r FROM co JOIN (SELECT u, avg(jsd) AS jsd FROM pd WHERE variant = 'PREVIOUS' GROUP BY 1) p ON p.u = co.id WHERE completeness >= 0", CO, WT, TH, PD)),
     "anova_prep": (anova_prep, None),
-    "homogeneous": (homogeneous, None),
 }
