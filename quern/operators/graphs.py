@@ -54,6 +54,64 @@ def components(e: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
 
 
+def spanning_forest(pairs: DataFrame) -> DataFrame:
+    """The edges (src, dst, distance) of a minimum spanning forest, by Boruvka's rounds: every component takes its nearest edge out,
+    ties by the edge itself; rounds grow with the log of the vertices."""
+    e = cut(pairs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance").groupBy("src", "dst").agg(F.min("distance").alias("distance")))
+    names = cut(e.select(F.col("src").alias("v")).union(e.select("dst")).distinct().withColumn("c", F.col("v")))
+    forest = None
+    while True:
+        x = e.join(names.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(names.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst").where("cs <> cd")
+        out = F.struct("distance", "src", "dst", "cs", "cd").alias("x")
+        near = x.select(F.col("cs").alias("c"), out).union(x.select(F.col("cd").alias("c"), out)).groupBy("c").agg(F.min("x").alias("x"))
+        taken = cut(near.select("x.*").distinct())
+        if not taken.limit(1).count():
+            return forest if forest is not None else taken.select("src", "dst", "distance")
+        forest = taken.select("src", "dst", "distance") if forest is None else forest.union(taken.select("src", "dst", "distance"))
+        merged = components(taken.select(F.col("cs").alias("src"), F.col("cd").alias("dst")))
+        names = cut(names.join(merged, names["c"] == merged["node"], "left").select("v", F.coalesce("component", "c").alias("c")))
+
+
+def linkage_levels(pairs: DataFrame, vertices: int) -> DataFrame:
+    """height, clusters: how many clusters single linkage of ``vertices`` points has strictly below each distinct height, and (height
+    null) after the last merge."""
+    per = spanning_forest(pairs).groupBy("distance").agg(F.count("*").alias("n"))  # one row per distinct height
+    w = Window.orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
+    below = per.select(F.col("distance").alias("height"), (F.lit(vertices) - F.coalesce(F.sum("n").over(w), F.lit(0))).cast("long").alias("clusters"))
+    return below.union(per.agg(F.lit(None).cast("double"), (F.lit(vertices) - F.coalesce(F.sum("n"), F.lit(0))).cast("long")))
+
+
+def strong_components(e: DataFrame) -> DataFrame:
+    """node, component (its smallest node). Every node takes the least id that reaches it as its colour; the nodes of a colour that
+    reach that id are a component and leave; the rest go on. Rounds inside grow with the longest shortest path."""
+    e = cut(e.where("src <> dst").distinct())
+    v = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    done = None
+    while True:
+        colour = cut(v.withColumn("c", F.col("node")))
+        while True:
+            got = e.join(colour, e["src"] == colour["node"]).groupBy("dst").agg(F.min("c").alias("m"))
+            nxt = cut(colour.join(got, colour["node"] == got["dst"], "left").select("node", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("new")))
+            colour = nxt.select("node", "c")
+            if not nxt.where("new").limit(1).count():
+                break
+        x, y = colour.withColumnRenamed("node", "src"), colour.withColumnRenamed("node", "dst").withColumnRenamed("c", "cd")
+        inside = cut(e.join(x, "src").join(y, "dst").where("c = cd").select("src", "dst"))
+        back = cut(colour.where("node = c"))
+        while True:
+            more = inside.join(back.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c").distinct().join(back, "node", "left_anti")
+            more = cut(more)
+            if not more.limit(1).count():
+                break
+            back = cut(back.union(more))
+        found = back.select("node", F.col("c").alias("component"))
+        done = found if done is None else done.union(found)
+        v = cut(v.join(back, "node", "left_anti"))
+        if not v.limit(1).count():
+            return done
+        e = cut(e.join(v.select(F.col("node").alias("src")), "src", "left_semi").join(v.select(F.col("node").alias("dst")), "dst", "left_semi"))
+
+
 def pagerank(e: DataFrame, iterations: int = 10, jump: float = 0.2, every: int = 5) -> DataFrame:
     """id, rank after a fixed number of iterations; ranks add up to 1 and dangling mass is spread evenly."""
     e = e.distinct()
@@ -340,18 +398,6 @@ def overlap_matrix(spark, d):
     return x.select("a", "b", F.round(F.when(union == 0, 1.0).otherwise(F.col("both") / union), 6).alias("jaccard"), F.round(F.when(F.least("na", "nb") == 0, 1.0).otherwise(F.col("both") / F.least("na", "nb")), 6).alias("overlap"))
 
 
-def precision_specificity(spark, d):
-    """How well replies recover the explicit edges, against pairs without one."""
-    from quern.operators.theta import complement_edges
-
-    pos, found = social.explicit_edges(spark, d), social.purchase_edges(spark, d)
-    neg = complement_edges(social.users(spark, d).select("id"), pos, 200)
-    tp = found.join(pos, ["src", "dst"], "left_semi").agg(F.count("*").alias("tp"))
-    fp = neg.join(found, ["src", "dst"], "left_semi").agg(F.count("*").alias("fp"))
-    one = tp.crossJoin(fp).crossJoin(found.agg(F.count("*").alias("found"))).crossJoin(neg.agg(F.count("*").alias("neg")))
-    return one.select(F.round(F.col("tp") / F.col("found"), 6).alias("precision"), F.round((F.col("neg") - F.col("fp")) / F.col("neg"), 6).alias("specificity"))
-
-
 def shared_neighbors(spark, d):
     e = social.explicit_edges(spark, d)
     x, y = e.alias("x"), e.alias("y")
@@ -404,6 +450,47 @@ def edge_distance(spark, d):
     return edge_distances(mutual(spark, d)).select("e1", "e2", F.round("distance", 6).alias("distance"))
 
 
+def vertex_communities(spark, d):
+    """Clusters of vertices, which may overlap: the ends of each cluster's edges."""
+    return edge_communities(spark, d).select("cluster", F.explode(F.split("edge", "-")).alias("v")).groupBy("cluster").agg(F.collect_set(F.col("v").cast("long")).alias("m")).select("cluster", F.array_join(F.transform(F.sort_array("m"), lambda x: x.cast("string")), ",").alias("members"))
+
+
+def linkage(spark, d):
+    """Levels of the single linkage of the mutual graph's edges."""
+    e = undirected(mutual(spark, d)).select(F.concat_ws("-", "a", "b").alias("e"))
+    from quern.operators.tables import ranked
+
+    ids = ranked(e, "e")
+    p = edge_distances(mutual(spark, d)).withColumn("distance", F.round("distance", 6))
+    p = p.join(ids.select(F.col("e").alias("e1"), F.col("rank").alias("src")), "e1").join(ids.select(F.col("e").alias("e2"), F.col("rank").alias("dst")), "e2")
+    return linkage_levels(p.select("src", "dst", "distance"), ids.count())
+
+
+def community_statistics(spark, d):
+    """Percolated communities: how many, how many vertices they cover of all, sizes, and the share of the largest."""
+    c = cut(percolated(spark, d))
+    s = c.groupBy("community").agg(F.count("*").alias("n"))
+    n = social.users(spark, d).agg(F.count("*").alias("users"))
+    one = s.agg(F.count("*").alias("communities"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most")).crossJoin(c.agg(F.countDistinct("v").alias("covered"))).crossJoin(n)  # one row each
+    return one.select("communities", "mean", "least", "most", F.round(F.col("covered") / F.col("users"), 6).alias("coverage"), F.round(F.col("most") / F.col("users"), 6).alias("largest"))
+
+
+def community_membership(spark, d):
+    """Number of percolated communities and of edge clusters of each vertex that has any."""
+    p = percolated(spark, d).groupBy("v").agg(F.count("*").alias("percolated"))
+    k = edge_communities(spark, d).select("cluster", F.explode(F.transform(F.split("edge", "-"), lambda x: x.cast("long"))).alias("v")).groupBy("v").agg(F.countDistinct("cluster").alias("clusters"))
+    return p.join(k, "v", "full").select("v", F.coalesce("percolated", F.lit(0)).alias("percolated"), F.coalesce("clusters", F.lit(0)).alias("clusters"))
+
+
+def component_summary(spark, d):
+    """Weak and strong components of the replies and their largest, and the mean degree over n - 1."""
+    e = cut(social.purchase_edges(spark, d))
+    size = lambda c: c.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.max("n").alias("top"))
+    w, s = size(components(e)).select(F.col("k").alias("weak"), F.col("top").alias("largest_weak")), size(strong_components(e)).select(F.col("k").alias("strong"), F.col("top").alias("largest_strong"))
+    n = e.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.countDistinct("v").alias("n"), (F.count("*") / 2).alias("m"))
+    return w.crossJoin(s).crossJoin(n).select("weak", "largest_weak", "strong", "largest_strong", F.round(F.col("m") / F.col("n") / (F.col("n") - 1), 6).alias("degree"))  # one row each
+
+
 def edge_communities(spark, d):
     best, found = link_communities(mutual(spark, d))
     return spark.createDataFrame([(k, c, round(best, 6)) for k, c in found.items()] or [], "edge string, cluster int, density double")
@@ -415,6 +502,26 @@ PR = ["pe AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM
 for _k in range(5):
     PR.append(f"""r{_k + 1} AS (SELECT v.id, 0.2 / n + 0.8 * (coalesce(g.got, 0) + l.lost / n) AS rank FROM pv v CROSS JOIN pn CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{_k} WHERE id NOT IN (SELECT src FROM explicit_edges)) l
       LEFT JOIN (SELECT dst, sum(rank * w) AS got FROM pe JOIN r{_k} ON src = id GROUP BY 1) g ON g.dst = v.id)""")
+SHORTEST = ["l0 AS (SELECT DISTINCT id AS s, id AS v, 1.0::DOUBLE AS p FROM (SELECT src AS id FROM purchase_edges UNION SELECT dst FROM purchase_edges))"]
+for _k in range(1, 9):
+    _seen = " UNION ALL ".join(f"SELECT s, v FROM l{_i}" for _i in range(_k))
+    SHORTEST.append(f"l{_k} AS (SELECT l.s, e.dst AS v, sum(l.p) AS p FROM l{_k - 1} l JOIN purchase_edges e ON e.src = l.v WHERE NOT EXISTS (SELECT 1 FROM ({_seen}) x WHERE x.s = l.s AND x.v = e.dst) GROUP BY ALL)")
+SHORTEST.append("sp AS (" + " UNION ALL ".join(f"SELECT s, v, p, {_k} AS d FROM l{_k}" for _k in range(9)) + ")")
+#: Adjacency lists, all cliques in ascending order, the maximal ones.
+CLIQUES = ["ad AS (SELECT src AS v, list(dst ORDER BY dst) AS n FROM mu GROUP BY 1)", "cl(m) AS (SELECT [v] FROM ad UNION ALL SELECT list_append(c.m, u.v) FROM cl c JOIN ad u ON u.v > c.m[-1] AND list_has_all(u.n, c.m))",
+           "mc AS (SELECT m FROM cl WHERE len(m) > 1 AND NOT EXISTS (SELECT 1 FROM ad WHERE list_has_all(ad.n, cl.m)))"]
+#: Triangles that share an edge are one community: components of their edges, then vertices (c, v).
+PERCOLATION = ["pu AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS e FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM purchase_edges))",
+               "pt AS (SELECT x.e AS e1, y.e AS e2, z.e AS e3 FROM pu x JOIN pu y ON y.a = x.b JOIN pu z ON z.a = x.a AND z.b = y.b)", "pa AS (SELECT e1 AS x, e2 AS y FROM pt UNION SELECT e2, e1 FROM pt UNION SELECT e1, e3 FROM pt UNION SELECT e3, e1 FROM pt)",
+               "pc(e, c) AS (SELECT DISTINCT x, x FROM pa UNION SELECT pa.y, pc.c FROM pc JOIN pa ON pa.x = pc.e)", "pm AS (SELECT DISTINCT c, unnest([a, b]) AS v FROM (SELECT e, min(c) AS c FROM pc GROUP BY 1) JOIN pu USING (e))"]
+#: Distances of touching edges, components at every height (-1: none merged), the best partition density, its clusters.
+LINKS = ["hd AS (SELECT src AS v, dst AS w FROM mu UNION SELECT src, src FROM mu)",
+         """ds AS (SELECT least(k, i) || '-' || greatest(k, i) AS e1, least(k, j) || '-' || greatest(k, j) AS e2, round(1 - (SELECT count(*) FROM hd a JOIN hd b ON a.w = b.w WHERE a.v = i AND b.v = j) / (SELECT count(DISTINCT w) FROM hd WHERE v IN (i, j)), 6) AS distance FROM (SELECT x.src AS k, x.dst AS i, y.dst AS j FROM mu x JOIN mu y ON x.src = y.src AND x.dst < y.dst))""",
+         "lv AS (SELECT DISTINCT distance AS lv FROM ds UNION SELECT -1)", "le AS (SELECT DISTINCT least(src, dst) || '-' || greatest(src, dst) AS e FROM mu)", "db AS (SELECT e1, e2, distance FROM ds UNION ALL SELECT e2, e1, distance FROM ds)",
+         "lc(lv, e, c) AS (SELECT lv, e, e FROM lv, le UNION SELECT l.lv, d.e2, l.c FROM lc l JOIN db d ON d.e1 = l.e AND d.distance <= l.lv)",
+         "lk AS (SELECT lv, e, min(c) AS k FROM lc GROUP BY ALL)",
+         "ld AS (SELECT lv, 2 / (SELECT count(*) FROM le) * sum(CASE WHEN n > 2 THEN m * (m - (n - 1)) / ((n - 2) * (n - 1)) ELSE 0 END) AS density FROM (SELECT lv, k, count(DISTINCT e) AS m, count(DISTINCT v) AS n FROM (SELECT lv, k, e, unnest(string_split(e, '-')) AS v FROM lk) GROUP BY ALL) GROUP BY 1)",
+         "bl AS (SELECT lv, density FROM ld ORDER BY round(density, 9) DESC, lv LIMIT 1)", "bc AS (SELECT e, k, density FROM lk JOIN bl USING (lv))"]
 QUERIES = {
     "mutual": (mutual, sql("SELECT src, dst FROM mu", MU)),
     "follower_graph": (follower_graph, sql("SELECT dst AS src, src AS dst FROM explicit_edges")),
@@ -427,7 +534,6 @@ QUERIES = {
     "overlap_matrix": (overlap_matrix, sql("""SELECT x.net AS a, y.net AS b, round(count(*) FILTER (x.src = y.src) / max(u), 6) AS jaccard, round(count(*) FILTER (x.src = y.src) / max(l), 6) AS overlap FROM (SELECT x.net AS nx, y.net AS ny, least(x.n, y.n) AS l,
       (SELECT count(*) FROM (SELECT src, dst FROM nets WHERE net = x.net UNION SELECT src, dst FROM nets WHERE net = y.net)) AS u FROM (SELECT net, count(*) AS n FROM nets GROUP BY 1) x, (SELECT net, count(*) AS n FROM nets GROUP BY 1) y) t
       JOIN nets x ON x.net = nx JOIN nets y ON y.net = ny AND x.src = y.src AND x.dst = y.dst WHERE x.net < y.net GROUP BY ALL""", CM, "nets AS (SELECT src, dst, 'explicit' AS net FROM explicit_edges UNION ALL SELECT src, dst, 'purchase' FROM purchase_edges UNION ALL SELECT src, dst, 'comm' FROM cm)")),
-    "precision_specificity": (precision_specificity, None),
     "shared_neighbors": (shared_neighbors, sql("SELECT x.src AS a, y.src AS b, count(*) AS n FROM explicit_edges x JOIN explicit_edges y ON x.dst = y.dst AND x.src < y.src GROUP BY ALL HAVING count(*) > 2")),
     "weak_components": (weak_components, sql("SELECT node, min(c) AS component FROM rc GROUP BY 1", MU, "rc(node, c) AS (SELECT DISTINCT src, src FROM mu UNION SELECT m.dst, rc.c FROM rc JOIN mu m ON m.src = rc.node)", recursive=True)),
     "component_histogram": (component_histogram, sql("SELECT size, count(*) AS n FROM (SELECT c, count(*) AS size FROM (SELECT node, min(c) AS c FROM rc GROUP BY 1) GROUP BY 1) GROUP BY 1", MU, "rc(node, c) AS (SELECT DISTINCT src, src FROM mu UNION SELECT m.dst, rc.c FROM rc JOIN mu m ON m.src = rc.node)", recursive=True)),
@@ -438,12 +544,22 @@ QUERIES = {
       (SELECT round(corr(s.o, t.i), 6) AS assortativity FROM purchase_edges e JOIN dg s ON s.id = e.src JOIN dg t ON t.id = e.dst)""",
       "dg AS (SELECT id, (SELECT count(*) FROM purchase_edges e WHERE e.src = id) AS o, (SELECT count(*) FROM purchase_edges e WHERE e.dst = id) AS i FROM (SELECT src AS id FROM purchase_edges UNION SELECT dst FROM purchase_edges))",
       "un AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM purchase_edges)")),
-    "betweenness": (betweenness_all, None),
-    "cliques": (cliques, None),
-    "clique_per_vertex": (clique_per_vertex, None),
-    "plexes": (plexes, None),
-    "percolation": (percolated, None),
+    "betweenness": (betweenness_all, sql("""SELECT v.id, round(coalesce(b.b, 0), 6) AS betweenness FROM (SELECT src AS id FROM purchase_edges UNION SELECT dst FROM purchase_edges) v LEFT JOIN
+      (SELECT x.v, sum(x.p * y.p / z.p) AS b FROM sp x JOIN sp y ON y.s = x.v AND y.v <> x.v JOIN sp z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.s <> x.v AND x.s <> y.v GROUP BY 1) b ON b.v = v.id""", *SHORTEST)),
+    "cliques": (cliques, sql("SELECT array_to_string(m, ',') AS members FROM mc", MU, *CLIQUES, recursive=True)),
+    "clique_per_vertex": (clique_per_vertex, sql("SELECT v, count(*) AS cliques, CAST(max(n) AS INTEGER) AS n FROM (SELECT unnest(m) AS v, len(m) AS n FROM mc) GROUP BY 1", MU, *CLIQUES, recursive=True)),
+    "plexes": (plexes, sql("SELECT array_to_string(m, ',') AS members FROM pl WHERE len(m) >= 3 AND NOT EXISTS (SELECT 1 FROM ad u LEFT JOIN ad x ON x.v = list_filter(pl.m, lambda y: NOT list_contains(u.n, y))[1] WHERE NOT list_contains(pl.m, u.v) AND len(list_filter(pl.m, lambda y: NOT list_contains(u.n, y))) <= 1 AND (x.v IS NULL OR len(list_intersect(x.n, pl.m)) = len(pl.m) - 1))", MU, CLIQUES[0],
+      """pl(m) AS (SELECT [v] FROM ad UNION ALL SELECT list_append(p.m, u.v) FROM pl p JOIN ad u ON u.v > p.m[-1] LEFT JOIN ad x ON x.v = list_filter(p.m, lambda y: NOT list_contains(u.n, y))[1] WHERE len(list_filter(p.m, lambda y: NOT list_contains(u.n, y))) <= 1 AND (x.v IS NULL OR len(list_intersect(x.n, p.m)) = len(p.m) - 1))""", recursive=True)),
+    "percolation": (percolated, sql("SELECT c.community, p.v FROM pm p JOIN (SELECT c, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS community FROM pm GROUP BY 1) c ON c.c = p.c", *PERCOLATION, recursive=True)),
+    "community_statistics": (community_statistics, sql("SELECT count(*) AS communities, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most, round((SELECT count(DISTINCT v) FROM pm) / (SELECT count(*) FROM users), 6) AS coverage, round(max(n) / (SELECT count(*) FROM users), 6) AS largest FROM (SELECT c, count(*) AS n FROM pm GROUP BY 1)", *PERCOLATION, recursive=True)),
+    "component_summary": (component_summary, sql("""SELECT weak, largest_weak, strong, largest_strong, round(m / n / (n - 1), 6) AS degree FROM (SELECT count(*) AS weak, max(k) AS largest_weak FROM (SELECT c, count(*) AS k FROM (SELECT node, min(c) AS c FROM wc GROUP BY 1) GROUP BY 1)),
+      (SELECT count(*) AS strong, max(k) AS largest_strong FROM (SELECT c, count(*) AS k FROM (SELECT x.s AS node, min(x.v) AS c FROM cl x JOIN cl y ON y.s = x.v AND y.v = x.s GROUP BY 1) GROUP BY 1)), (SELECT count(DISTINCT src) AS q, count(*) AS m FROM purchase_edges), (SELECT count(*) AS n FROM (SELECT src FROM purchase_edges UNION SELECT dst FROM purchase_edges))""",
+      "wc(node, c) AS (SELECT DISTINCT src, src FROM (SELECT src FROM purchase_edges UNION SELECT dst FROM purchase_edges) UNION SELECT e.b, wc.c FROM wc JOIN (SELECT src AS a, dst AS b FROM purchase_edges UNION SELECT dst, src FROM purchase_edges) e ON e.a = wc.node)",
+      "cl(s, v) AS (SELECT DISTINCT src, src FROM (SELECT src FROM purchase_edges UNION SELECT dst FROM purchase_edges) UNION SELECT cl.s, e.dst FROM cl JOIN purchase_edges e ON e.src = cl.v)", recursive=True)),
     "edge_distance": (edge_distance, sql("""SELECT least(k, i) || '-' || greatest(k, i) AS e1, least(k, j) || '-' || greatest(k, j) AS e2, round(1 - (SELECT count(*) FROM hd a JOIN hd b ON a.w = b.w WHERE a.v = i AND b.v = j) / (SELECT count(DISTINCT w) FROM hd WHERE v IN (i, j)), 6) AS distance
       FROM (SELECT x.src AS k, x.dst AS i, y.dst AS j FROM mu x JOIN mu y ON x.src = y.src AND x.dst < y.dst)""", MU, "hd AS (SELECT src AS v, dst AS w FROM mu UNION SELECT src, src FROM mu)")),
-    "link_communities": (edge_communities, None),
+    "link_communities": (edge_communities, sql("SELECT e AS edge, CAST(dense_rank() OVER (ORDER BY k) - 1 AS INTEGER) AS cluster, round(density, 6) AS density FROM bc", MU, *LINKS, recursive=True)),
+    "vertex_communities": (vertex_communities, sql("SELECT CAST(cluster AS INTEGER) AS cluster, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS members FROM (SELECT DISTINCT cluster, unnest([CAST(split_part(e, '-', 1) AS BIGINT), CAST(split_part(e, '-', 2) AS BIGINT)]) AS v FROM (SELECT e, dense_rank() OVER (ORDER BY k) - 1 AS cluster FROM bc)) GROUP BY 1", MU, *LINKS, recursive=True)),
+    "community_membership": (community_membership, sql("SELECT coalesce(p.v, k.v) AS v, coalesce(p.n, 0) AS percolated, coalesce(k.n, 0) AS clusters FROM (SELECT v, count(*) AS n FROM pm GROUP BY 1) p FULL JOIN (SELECT v, count(DISTINCT k) AS n FROM (SELECT k, unnest([CAST(split_part(e, '-', 1) AS BIGINT), CAST(split_part(e, '-', 2) AS BIGINT)]) AS v FROM bc) GROUP BY 1) k ON k.v = p.v", MU, *LINKS, *PERCOLATION, recursive=True)),
+    "linkage": (linkage, sql("SELECT height, clusters FROM (SELECT lv AS height, lag(n) OVER (ORDER BY lv) AS clusters, n FROM lt) WHERE n < clusters UNION ALL SELECT NULL, min(n) FROM lt", MU, *LINKS, "lt AS (SELECT lv, count(DISTINCT k) AS n FROM lk GROUP BY 1)", recursive=True)),
 }

@@ -265,5 +265,7 @@ QUERIES = {
     "survival": (survival, sql("SELECT v.variant, round(avg(CASE WHEN b.best <= v.jsd THEN 0.0 ELSE 1.0 END), 6) AS rate, count(*) AS n FROM bj v JOIN (SELECT week, min(jsd) AS best FROM bj WHERE variant <> 'NEIGHBOURS' GROUP BY 1) b USING (week) WHERE v.variant = 'NEIGHBOURS' GROUP BY 1", WT, TH, PD)),
     "completeness": (completeness, sql("SELECT id, completeness FROM co", CO)),
     "pearson": (pearson, sql("SELECT count(*) AS n, round(corr(completeness, jsd), 6) AS r FROM co JOIN (SELECT u, avg(jsd) AS jsd FROM pd WHERE variant = 'PREVIOUS' GROUP BY 1) p ON p.u = co.id WHERE completeness >= 0", CO, WT, TH, PD)),
-    "anova_prep": (anova_prep, None),
+    "anova_prep": (anova_prep, sql("""SELECT id, mask, CAST(slot AS INTEGER) AS slot FROM (SELECT *, min(n) OVER () AS least FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY bit_count(mask), mask, id) AS k, count(*) OVER (PARTITION BY slot) AS n FROM
+      (SELECT id, mask, b[1 + r // part] AS slot FROM (SELECT *, row_number() OVER (PARTITION BY mask ORDER BY id) - 1 AS r, count(*) OVER (PARTITION BY mask) // len(b) AS part FROM (SELECT id, mask, list_filter([0, 1, 2, 3, 4], lambda i: (mask >> i) & 1 = 1) AS b FROM an)) WHERE r < part * len(b)))) WHERE k <= least""",
+      "an AS (SELECT sender AS id, bit_or(CAST(1 << (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7) AS BIGINT)) AS mask FROM messages GROUP BY 1)")),
 }
