@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+from array import array
 
 from quern.llm.common import worker_cache
 
@@ -28,8 +28,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers. Two generations bound its memory.
+class Cache(dict):
+    """word -> its ids as little-endian unsigned 32-bit integers, by ``make``. Two generations bound its memory."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
+class Words:
+    """Ids of texts from those of their words.
 
     A run of Latin-1 letters is one unit of either pattern, so its ids are those of the library's model on that unit, and
     punctuation after it is the next unit; the library's whole pipeline encodes all other words.
@@ -38,48 +56,60 @@ class Words(dict):
     def __init__(self, path: str, spaced: bool, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.spaced, self.limit, self.old = self.tokenizer.model, spaced, limit, {}
-        self.letters = byte_letters()
+        self.model, self.spaced, self.letters = self.tokenizer.model, spaced, byte_letters()
+        # Words as they stand; for byte-level patterns also words after one space, kept without it.
+        self.plain, self.after_space = Cache(self.new, limit), Cache(self.new_after_space, limit)
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            got = self.new(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[word] = got
-        return got
+    def unit(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def new_after_space(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self.unit("\u0120" + word)  # how byte-level vocabularies write a space
+            head = word.rstrip(MARKS)
+            if head.isalpha():
+                return self.after_space[head] + self.plain[word[len(head) :]]
+        return self.new(" " + word)
 
     def new(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.unit(word if self.spaced else word.lower())
         if LATIN.fullmatch(word):
             if not self.spaced:
                 word = word.lower()
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return self.unit(word.encode().decode("latin-1").translate(self.letters))
         head = word.rstrip(MARKS)
         if len(head) < len(word) and LATIN.fullmatch(head):
-            return self[head] + self[word[len(head) :]]
+            return self.plain[head] + self.plain[word[len(head) :]]
         return self.whole(word)
 
     def ids(self, text: str) -> bytes:
         if ODD.search(text):
             return self.whole(text)
         if self.spaced:
-            return b"".join(map(self.__getitem__, SPACED.findall(text)))
+            return self.spaced_ids(text)
         if "<|" not in text:
             try:  # Latin-1 letters lower-case one by one, as the library does: fewer distinct words
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.plain.__getitem__, text.split()))
+
+    def spaced_ids(self, text: str) -> bytes:
+        """Words that only single spaces or line breaks part are looked up without them; a line break between two words is a unit of
+        its own. Any other white space goes with the word after it."""
+        if text and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"):
+            lines = [line.split(" ") for line in text.split("\n")]
+            if sum(map(len, lines)) == len(text.split()):
+                after = self.after_space.__getitem__
+                return self.plain["\n"].join([self.plain[line[0]] + b"".join(map(after, line[1:])) for line in lines])
+        return b"".join(map(self.plain.__getitem__, SPACED.findall(text)))
 
 
 def words(path: str) -> Words:
