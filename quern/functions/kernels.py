@@ -103,6 +103,26 @@ def fit_dirichlet(p: np.ndarray, steps: int = 500) -> np.ndarray:
     return alpha
 
 
+def dirichlet_fixed_point(counts: list[tuple[int, int, int]], lengths: list[tuple[int, int]], k: int, start: float, uniform: bool, steps: int = 100, eps: float = 1e-13) -> np.ndarray:
+    """The parameters of a Dirichlet-multinomial from histograms: ``counts`` of (component, count, how often), ``lengths`` of (total,
+    how often). ``uniform``: all components have one. Each step scales by ratios of digamma differences."""
+    alpha = np.full(k, float(start))
+    c, n, m = (np.array(v, float) for v in (zip(*counts) if counts else ((), (), ())))
+    length, often = (np.array(v, float) for v in (zip(*lengths) if lengths else ((), ())))
+    for _ in range(steps):
+        up = np.bincount(c.astype(int), weights=m * (digamma(n + alpha[c.astype(int)]) - digamma(alpha[c.astype(int)])), minlength=k)
+        total = alpha.sum()
+        down = float((often * (digamma(length + total) - digamma(np.full_like(length, total)))).sum())
+        if down <= 0:
+            break
+        new = np.maximum(np.full(k, alpha[0] * up.sum() / (k * down)) if uniform else alpha * up / down, 1e-10)
+        moved = np.abs(new - alpha).max()
+        alpha = new
+        if moved < eps:
+            break
+    return alpha
+
+
 def dirichlet_ll(p: np.ndarray, alpha: np.ndarray) -> float:
     return float(len(p) * (math.lgamma(alpha.sum()) - sum(map(math.lgamma, alpha))) + ((alpha - 1) * np.log(np.maximum(p, 1e-12))).sum())
 

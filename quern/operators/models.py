@@ -1,7 +1,7 @@
-"""Fitted models: topic models by Gibbs sampling, hidden Markov models, Granger networks, permutation tests, mixtures.
+"""Fitted models: hidden Markov models, Granger networks, permutation tests, mixtures.
 
 Grouped work runs in grouped-map kernels seeded by the group's key; iterative fits exchange only small sufficient
-statistics (topic-word counts, state sums) between sweeps.
+statistics (state sums) between steps.
 """
 
 from __future__ import annotations
@@ -29,168 +29,6 @@ def seed(*parts: object) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32(repr(parts).encode()))
 
 
-# Topic models -----------------------------------------------------------------------------------------------------------
-
-
-#: Sweeps of a full fit.
-SWEEPS = 2000
-
-
-def vocabulary(words: DataFrame, most: int | None = None) -> DataFrame:
-    """term, term_id of all words, or of the ``most`` frequent ones; ids follow frequency, then the word."""
-    top = words.groupBy("term").agg(F.count("*").alias("n"))
-    top = top if most is None else top.orderBy(F.desc("n"), "term").limit(most)
-    return top.select("term", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1).cast("int").alias("term_id"))
-
-
-def gibbs(docs: DataFrame, topics: int, terms: int, sweeps: int = SWEEPS, alpha: float = 0.5, beta: float = 0.01, name: str = "lda", recipients: bool = False) -> tuple[DataFrame, np.ndarray]:
-    """(docs with z, topic-term counts) after ``sweeps`` of collapsed Gibbs sampling, one distributed pass each.
-
-    ``docs``: doc (the unit that has a topic distribution), words array<int>, and with ``recipients`` others
-    array<long>: then each word draws (recipient, topic) jointly and distributions belong to (doc, recipient). A pass samples
-    each partition against the counts of the last pass plus its own changes; the changes are added up by (topic, term).
-    """
-    key = "others array<long>, x array<int>, " if recipients else ""
-    schema = f"doc long, {key}words array<int>, z array<int>"
-
-    def sweep(step: int, counts: np.ndarray):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kw = counts.astype(float).copy()
-            k = kw.sum(axis=1)
-            for b in batches:
-                out_z, out_x = [], []
-                for r in b.itertuples():
-                    rng = seed(name, step, r.doc, len(r.words))
-                    others = list(r.others) if recipients else [0]
-                    own = {o: np.zeros(topics) for o in others}
-                    z = np.array(r.z) if step else rng.integers(0, topics, len(r.words))
-                    x = np.array(r.x) if step and recipients else rng.integers(0, len(others), len(r.words))
-                    for w, t, j in zip(r.words, z, x):
-                        own[others[j]][t] += 1
-                        if not step:
-                            kw[t, w] += 1
-                            k[t] += 1
-                    for i, w in enumerate(r.words):
-                        t, o = z[i], others[x[i]]
-                        own[o][t] -= 1
-                        kw[t, w] -= 1
-                        k[t] -= 1
-                        word = (kw[:, w] + beta) / (k + terms * beta)
-                        p = np.concatenate([(own[o] + alpha) / (own[o].sum() + topics * alpha) * word for o in others])
-                        c = np.cumsum(np.maximum(p, 0))
-                        at = int(np.searchsorted(c, rng.random() * c[-1]))
-                        x[i], z[i] = divmod(min(at, len(p) - 1), topics)
-                        own[others[x[i]]][z[i]] += 1
-                        kw[z[i], w] += 1
-                        k[z[i]] += 1
-                    out_z.append(z.astype(np.int32).tolist())
-                    out_x.append(x.astype(np.int32).tolist())
-                yield b.assign(z=pd.Series(out_z, dtype=object, index=b.index), **({"x": pd.Series(out_x, dtype=object, index=b.index)} if recipients else {}))[[c.strip().split(" ")[0] for c in schema.split(", ")]]
-
-        return run
-
-    def counted(df: DataFrame) -> np.ndarray:
-        kw = np.zeros((topics, terms), np.int64)
-        pairs = df.select(F.explode(F.arrays_zip("z", "words")).alias("p")).groupBy("p.z", "p.words").agg(F.count("*").alias("n"))
-        for t, w, n in pairs.collect():  # at most topics * terms rows, both parameters
-            kw[t, w] = n
-        return kw
-
-    empty = F.array().cast("array<int>")
-    state = docs.select("doc", *(["others", empty.alias("x")] if recipients else []), "words", empty.alias("z"))
-    counts = np.zeros((topics, terms), np.int64)
-    for step in range(sweeps):
-        last, state = state, cut(state.mapInPandas(sweep(step, counts), schema))
-        if step:
-            drop(last)
-        counts = counted(state)
-    return state, counts
-
-
-def lda_topics(state: DataFrame, topics: int, alpha: float = 0.5) -> DataFrame:
-    n = F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda t: F.size(F.filter("z", lambda z: z == t)))
-    return state.select("doc", V.smooth(n, alpha).alias("theta"))
-
-
-def phi_of(counts: np.ndarray, beta: float = 0.01) -> np.ndarray:
-    return (counts + beta) / (counts.sum(axis=1, keepdims=True) + beta * counts.shape[1])
-
-
-def online_prior(earlier: list[np.ndarray], weights: list[float], base: float = 0.01) -> np.ndarray:
-    """beta of the next model: the base plus weighted counts of the latest models, the last weight for the last model."""
-    out = np.full_like(earlier[-1], base, dtype=float)
-    for w, c in zip(reversed(weights), reversed(earlier)):
-        out += w * c
-    return out
-
-
-def left_to_right(words: list[int], phi: np.ndarray, alpha: float, particles: int, rng: np.random.Generator) -> float:
-    """Held-out log-likelihood of one document by particles that pass once from left to right."""
-    topics, total = len(phi), 0.0
-    counts = np.zeros((particles, topics))
-    for w in words:
-        p = (counts + alpha) / (counts.sum(axis=1, keepdims=True) + topics * alpha) * phi[:, w]
-        s = p.sum(axis=1)
-        total += float(np.log(s.mean()))
-        c = np.cumsum(p, axis=1)
-        pick = (c < rng.random((particles, 1)) * c[:, -1:]).sum(axis=1)
-        counts[np.arange(particles), np.minimum(pick, topics - 1)] += 1
-    return total
-
-
-def social_states(docs: DataFrame, topics: int, states: int, terms: int, sweeps: int = 10) -> DataFrame:
-    """pair, state, theta, moves: a Markov state per message of a pair, by Gibbs sampling inside the pair.
-
-    ``docs``: pair, pos, words. The pair is the unit: its sequence is sampled whole in one grouped-map call.
-    """
-
-    def run(key, pdf):
-        rng = seed("social", int(key[0]))
-        pdf = pdf.sort_values("pos")
-        words = [list(w) for w in pdf["words"]]
-        s, z = rng.integers(0, states, len(words)), [rng.integers(0, topics, len(w)) for w in words]
-        kw = np.full((topics, terms), 0.01)
-        n = np.zeros((states, topics))
-        for a, ws, zs in zip(s, words, z):
-            for w, t in zip(ws, zs):
-                kw[t, w] += 1
-                n[a, t] += 1
-        move = np.full((states, states), 0.5)
-        for a, b in zip(s[:-1], s[1:]):
-            move[a, b] += 1
-        for _ in range(sweeps):
-            for i, ws in enumerate(words):
-                hist = np.bincount(z[i], minlength=topics)
-                n[s[i]] -= hist
-                if i:
-                    move[s[i - 1], s[i]] -= 1
-                if i + 1 < len(words):
-                    move[s[i], s[i + 1]] -= 1
-                th = np.log((n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * topics))
-                lp = th @ hist + (np.log(move[s[i - 1]]) if i else 0) + (np.log(move[:, s[i + 1]] / move.sum(axis=1)) if i + 1 < len(words) else 0)
-                p = np.exp(lp - lp.max())
-                s[i] = int(np.searchsorted(np.cumsum(p), rng.random() * p.sum()))
-                s[i] = min(s[i], states - 1)
-                if i:
-                    move[s[i - 1], s[i]] += 1
-                if i + 1 < len(words):
-                    move[s[i], s[i + 1]] += 1
-                n[s[i]] += hist
-                for j, w in enumerate(ws):
-                    t = z[i][j]
-                    kw[t, w] -= 1
-                    n[s[i], t] -= 1
-                    q = np.cumsum((n[s[i]] + 0.5) * kw[:, w] / kw.sum(axis=1))
-                    t = min(int(np.searchsorted(q, rng.random() * q[-1])), topics - 1)
-                    z[i][j] = t
-                    kw[t, w] += 1
-                    n[s[i], t] += 1
-        th = (n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * topics)
-        return pd.DataFrame({"pair": [key[0]] * states, "state": range(states), "theta": pd.Series([r.tolist() for r in th], dtype=object), "moves": pd.Series([(r / r.sum()).tolist() for r in move], dtype=object)})
-
-    return docs.groupBy("pair").applyInPandas(run, "pair long, state int, theta array<double>, moves array<double>")
-
-
 # Hidden Markov models -----------------------------------------------------------------------------------------------------
 
 
@@ -337,15 +175,6 @@ def word_counts(spark, d):
     return t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
 
 
-def lda(spark, d):
-    """Topic distributions of conversations: every word of them, SWEEPS sweeps."""
-    words = social.table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "term"), "turn").where("length(term) > 1")
-    v = cut(vocabulary(words))
-    docs = words.join(v, "term").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "pos", "term_id"))), lambda x: x["term_id"]).alias("words"))
-    state, _ = gibbs(cut(docs), 5, v.count())
-    return lda_topics(state, 5).select("doc", F.posexplode("theta").alias("topic", "p"))
-
-
 def hmm_fit(spark, d):
     h, ll = fit_hmm(cut(user_sequences(spark, d)), 2, 20_000, 1e-6)
     order = np.argsort(h.mean)
@@ -425,7 +254,6 @@ QUERIES = {
     "ll_plugin": (ll_plugin, sql("""SELECT sender, round(sum(n * ln(s)), 6) AS ll FROM (SELECT n.sender, n.event_type, max(n.n) AS n, sum(th.p * ph.phi) AS s FROM (SELECT sender, event_type, count(*) AS n FROM messages GROUP BY ALL) n
       JOIN (SELECT g.sender, t.k AS topic, (coalesce(w.n, 0) + 0.5) / (g.n + 2.5) AS p FROM (SELECT sender, count(*) AS n FROM messages GROUP BY 1) g CROSS JOIN (SELECT unnest(range(5)) AS k) t LEFT JOIN (SELECT sender, topic, count(*) AS n FROM messages GROUP BY ALL) w ON w.sender = g.sender AND w.topic = t.k) th ON th.sender = n.sender
       JOIN (SELECT topic, event_type, (n + 0.01) / (sum(n) OVER v + 0.01 * count(*) OVER v) AS phi FROM (SELECT topic, event_type, count(*) AS n FROM messages GROUP BY ALL) WINDOW v AS (PARTITION BY topic)) ph ON ph.topic = th.topic AND ph.event_type = n.event_type GROUP BY 1, 2) GROUP BY 1""")),
-    "lda": (lda, None),
     "hmm_fit": (hmm_fit, None),
     "hmm_states": (hmm_states, None),
     "granger": (granger, None),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import evaluation, graphs, messages, models, neighbourhood, storage, text, theta, vector_queries, windows
+from quern.operators import evaluation, graphs, messages, models, neighbourhood, storage, text, theta, topics, vector_queries, windows
 
-MODULES = (messages, theta, windows, graphs, models, neighbourhood, text, storage, vector_queries, evaluation)
+MODULES = (messages, theta, windows, graphs, models, neighbourhood, text, storage, vector_queries, evaluation, topics)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
