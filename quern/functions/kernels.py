@@ -169,24 +169,78 @@ def sqrt_lasso(x: np.ndarray, y: np.ndarray, level: float, eps: float = 1e-6, pa
     return b
 
 
-def debiased(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(coefficients, z, p) of the de-biased square-root lasso on standardised columns."""
+def approximate_inverse(cov: np.ndarray, mu: float, fixed: bool = False, resolution: float = 1.3, most: int = 32, eps: float = 1e-2, attempts: int = 9) -> np.ndarray:
+    """Rows m that minimise m S m / 2 - m_i + mu |m|_1, each for the least mu that still converges within ``most`` passes.
+
+    Coordinate descent over all rows at once. A row starts at ``mu`` and takes mu down by ``resolution`` while it converges, up
+    while it doesn't; with ``fixed`` mu stays.
+    """
+    d = len(cov)
+    diag, off = np.diag(cov).copy(), cov - np.diag(np.diag(cov))
+    alone = np.abs(off).max(axis=1) / diag
+    alone = alone / (1 + alone)  # from this mu on only the row's own coordinate is left
+
+    def descend(rows: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b, passes = np.zeros((len(rows), d)), np.zeros(len(rows), int)
+        b[np.arange(len(rows)), rows] = (1 - alone[rows]) / diag[rows]
+        at = np.flatnonzero(level < alone[rows])
+        passes[at] = 1
+        moved, checked, v = np.zeros((len(rows), d)), np.ones(len(rows), int), -b @ off
+        while len(at):
+            for j in range(d):
+                new = soft(v[at, j] + (rows[at] == j), level[at]) / diag[j]
+                step = new - b[at, j]
+                v[at] -= step[:, None] * off[j]
+                b[at, j] = new
+                moved[at, j] += step
+            passes[at] += 1
+            due = at[passes[at] >= 2 * checked[at]]
+            still = np.linalg.norm(moved[due], axis=1) < eps * np.linalg.norm(b[due], axis=1)
+            moved[due], checked[due] = 0, passes[due]
+            at = at[(passes[at] <= most) & ~np.isin(at, due[still])]
+        return b, passes
+
+    every = np.arange(d)
+    level = np.full(d, mu)
+    out, passes = descend(every, level)
+    if fixed:
+        return out
+    rising = passes > most
+    rows = every
+    for _ in range(attempts - 1):
+        level[rows] *= np.where(rising[rows], resolution, 1 / resolution)
+        new, passes = descend(rows, level[rows])
+        good = passes <= most
+        # Rising rows take the first that converges; falling ones the last that did.
+        out[rows[good | rising[rows]]] = new[good | rising[rows]]
+        rows = rows[np.where(rising[rows], ~good, good)]
+        if not len(rows):
+            break
+    return out
+
+
+def debiased(x: np.ndarray, y: np.ndarray, fixed: bool = False, inverse: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lasso coefficients, absolute scores, p) of the de-biased square-root lasso on standardised columns.
+
+    The noise comes from the scores' median absolute deviation: coordinates within three of it count as noise. ``inverse`` may
+    give the approximate inverse of x's correlations (``approximate_inverse``), which many y share.
+    """
     n, d = x.shape
-    mean, sd = x.mean(axis=0), x.std(axis=0)
-    sd = np.where(sd > 0, sd, 1)
-    z, yc = (x - mean) / sd, y - y.mean()
-    level = NORMAL.inv_cdf(1 - 0.1 / d / 2) / math.sqrt(n)
-    b = sqrt_lasso(z, yc, level)
-    s = z.T @ z / n
-    # Approximate inverse: the least ridge that keeps |S m - e| small in every coordinate.
-    mu = math.sqrt(math.log(max(d, 2)) / n)
-    m = np.linalg.pinv(s + min(mu, 0.1) * 0.1 * np.eye(d))
+    sd = x.std(axis=0)
+    if (sd <= 0).any():
+        raise ValueError("a column is constant")
+    z, yc = (x - x.mean(axis=0)) / sd, y - y.mean()
+    b = sqrt_lasso(z, yc, math.sqrt(NORMAL.inv_cdf(1 - 0.1 / d) / n))
+    cov = z.T @ z / n
+    m = approximate_inverse(cov, NORMAL.inv_cdf(1 - 0.1 / d**2) / math.sqrt(n), fixed) if inverse is None else inverse
     full = b + m @ z.T @ (yc - z @ b) / n
-    r = yc - z @ b
-    noise = max(float(np.sqrt(r @ r / max(1, n - np.count_nonzero(b)))), 1e-12)
-    var = noise**2 * np.diag(m @ s @ m.T) / n
-    score = full / np.sqrt(np.maximum(var, 1e-300))
-    return full / sd, score, np.array([2 * (1 - NORMAL.cdf(abs(v))) for v in score])
+    a = np.einsum("ij,jk,ik->i", m, cov, m)
+    unit = full / np.sqrt(np.maximum(a, 1e-300)) * math.sqrt(n)
+    mad = 1.4826 * float(np.median(np.abs(unit - np.median(unit))))
+    near = np.abs(unit) <= 3 * mad
+    noise = math.sqrt(n * (full[near] @ full[near]) / a[near].sum()) if a[near].sum() else mad
+    score = np.where((full != 0) & (a > 0), np.abs(full) * math.sqrt(n) / (max(noise, 1e-12) * np.sqrt(np.maximum(a, 1e-300))), 0.0)
+    return b / sd, score, np.array([2 * (1 - NORMAL.cdf(v)) for v in score])
 
 
 def fit_var(series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,26 +279,32 @@ def jj_threshold(z: np.ndarray, alpha: float) -> float:
     return 2 * math.log(d)
 
 
-def granger(dst: np.ndarray, src: np.ndarray, alpha: float = 0.05) -> tuple[float, bool, np.ndarray]:
-    """(share of the coefficients' size that lies on src, significant?, scores of src) for T x K series."""
+def granger_scores(dst: np.ndarray, src: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(share of the coefficients' size that lies on src, absolute scores of src, of all) for T x K series: one de-biased regression
+    for each component of dst on the step before of both. Components that never differ from 0 or from their mean are left out."""
     def lively(a):
         a = a[:, np.abs(a).max(axis=0) > 1e-7]
-        return a - a.mean(axis=0)
+        a = a - a.mean(axis=0)
+        return a[:, np.abs(a[:-1]).max(axis=0) > 1e-7] if len(a) > 1 else a[:, :0]
 
     dst, src = lively(dst), lively(src)
-    if not dst.shape[1] or not src.shape[1] or len(dst) < 4:
-        return 0.0, False, np.zeros(0)
     x = np.concatenate((dst, src), axis=1)[:-1]
-    own = total = 0.0
-    scores, every = [], []
-    for k in range(dst.shape[1]):
-        b, z, _ = debiased(x, dst[1:, k])
-        own += np.abs(b[dst.shape[1] :]).sum()
-        total += np.abs(b).sum()
-        scores.append(z[dst.shape[1] :])
-        every.append(z)
-    s = np.concatenate(scores)
-    return own / total if total else 0.0, bool((np.abs(s) > jj_threshold(np.concatenate(every), alpha)).any()), s
+    vary = x.std(axis=0) > 1e-9
+    own = np.arange(x.shape[1]) < dst.shape[1]
+    x, own = x[:, vary], own[vary]
+    if not own.any() or own.all() or len(x) < 3:
+        return 0.0, np.zeros(0), np.zeros(0)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    inverse = approximate_inverse(z.T @ z / len(x), NORMAL.inv_cdf(1 - 0.1 / x.shape[1] ** 2) / math.sqrt(len(x)))
+    rows = [debiased(x, dst[1:, k], inverse=inverse)[:2] for k in range(dst.shape[1])]
+    size, scores = np.abs(np.array([r[0] for r in rows])), np.array([r[1] for r in rows])
+    return (float(size[:, ~own].sum() / size.sum()) if size.sum() else 0.0), scores[:, ~own].ravel(), scores.ravel()
+
+
+def granger(dst: np.ndarray, src: np.ndarray, alpha: float = 0.05) -> tuple[float, bool, np.ndarray]:
+    """(share of the coefficients' size that lies on src, significant?, scores of src)."""
+    share, own, every = granger_scores(dst, src)
+    return share, bool(len(own) and (own >= jj_threshold(every, alpha)).any()), own
 
 
 # Tests -----------------------------------------------------------------------------------------------------------------
@@ -264,6 +324,65 @@ def kth_permutation(n: int, k: int) -> list[int]:
     return out
 
 
+def fit_beta(x: np.ndarray) -> tuple[float, float]:
+    """Parameters of a Beta distribution by moments; values at 0 and 1 are moved in a little. Without spread: uniform."""
+    x = np.clip(x, 1e-6, 1 - 1e-6)
+    m, v = float(x.mean()), float(x.var())
+    if not 0 < v < m * (1 - m):
+        return 1.0, 1.0
+    k = m * (1 - m) / v - 1
+    return m * k, (1 - m) * k
+
+
+def at_distance(rng: np.random.Generator, prior: np.ndarray, center: np.ndarray, far: float, tries: int = 100) -> np.ndarray:
+    """A distribution at L1 distance ``far`` from ``center``, in the direction of a Dirichlet draw. Where the simplex ends before, another
+    direction is drawn; after ``tries`` of them the farthest point of the last one counts."""
+    for _ in range(tries):
+        step = rng.dirichlet(prior) - center
+        size = np.abs(step).sum()
+        if size < 1e-12:
+            continue
+        down = step < 0
+        most = (center[down] / -step[down]).min() if down.any() else 1.0
+        if far / size <= most:
+            return np.maximum(center + step * far / size, 0)
+    return np.maximum(center + step * most, 0)
+
+
+def lagged_similarity(src: np.ndarray, before: np.ndarray, after: np.ndarray, least: int = 0) -> float:
+    """How well src (T x K, nan: missing) meets, a step later, the direction of the changes from ``before`` to ``after``; nan with fewer
+    than ``least`` active steps."""
+    t = len(src)
+    ok = ~np.isnan(src[:-1, 0]) & ~np.isnan(before[:-1, 0]) & ~np.isnan(after[1:, 0])
+    if ok.sum() < least:
+        return math.nan
+    s, p, q = src[:-1][ok], before[:-1][ok], after[1:][ok]
+    up = np.maximum(q - p, 0)
+    total = up.sum(axis=1)
+    direction = np.where(total[:, None] > 0, up / np.maximum(total, 1e-300)[:, None], 1 / src.shape[1])
+    magnitude = total / np.maximum(1 - np.minimum(p.min(axis=1), 1), 1e-300)
+    x = lambda v: np.where(v > 0, v * np.log(np.maximum(v, 1e-300)), 0)
+    d = (0.5 * (x(s) + x(direction)) - x((s + direction) / 2)).sum(axis=1)
+    return float((magnitude * np.maximum(math.log(2) - d, 0)).sum() / (math.log(2) * (t - 1)))
+
+
+def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 100, starts: int = 10) -> tuple[np.ndarray, np.ndarray, float]:
+    """(cluster of each point, exemplar of each cluster: the point nearest to its centre, sum of squares): best of several starts."""
+    best = None
+    for _ in range(starts):
+        c = x[rng.choice(len(x), k, replace=False)]
+        for _ in range(rounds):
+            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        if best is None or d.min(axis=1).sum() < best[2]:
+            best = d.argmin(axis=1), d.argmin(axis=0), float(d.min(axis=1).sum())
+    return best
+
+
 def monte_carlo(observed: float, draw, rng: np.random.Generator, most: int = 2000, batch: int = 100, alpha: float = 0.05) -> tuple[float, int]:
     """(p, samples) of a sequential test: stops when the Clopper-Pearson bounds at a spent error lie on one side of alpha."""
     over = n = 0

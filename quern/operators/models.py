@@ -137,14 +137,153 @@ def aligned(edges: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def granger_network(edges: DataFrame, series: DataFrame, alpha: float = 0.05, least: int = 4) -> DataFrame:
-    """src, dst, weight, significant: a square-root lasso VAR per edge, in parallel over edges."""
+    """src, dst, weight, significant, corrected, nodewise: a sparse vector autoregression per edge, in parallel over edges.
+
+    ``significant`` holds an edge's scores against its own false-discovery threshold at ``alpha``, ``corrected`` at alpha over the
+    number of edges into dst, ``nodewise`` against the threshold of the scores of all edges into dst, which meet in one group:
+    a few numbers an edge, not series.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [K.granger(np.array([list(x) for x in t]), np.array([list(x) for x in s]), alpha)[:2] for s, t in zip(b["s"], b["t"])]
-            yield pd.DataFrame({"src": b["src"], "dst": b["dst"], "weight": [float(g[0]) for g in got], "significant": [g[1] for g in got]})
+            got = [K.granger_scores(np.array([list(x) for x in t]), np.array([list(x) for x in s])) for s, t in zip(b["s"], b["t"])]
+            cell = lambda k: pd.Series([g[k].tolist() for g in got], dtype=object, index=b.index)
+            yield pd.DataFrame({"src": b["src"], "dst": b["dst"], "weight": [float(g[0]) for g in got], "own": cell(1), "every": cell(2)})
+
+    def judge(key, pdf):
+        pooled = np.concatenate([np.array(v, float) for v in pdf["own"]])
+        level = K.jj_threshold(pooled, alpha) if len(pooled) else np.inf
+        top = np.array([max(v, default=-np.inf) for v in pdf["own"]])
+        reach = lambda a: np.array([len(o) > 0 and max(o) >= K.jj_threshold(np.array(e), a) for o, e in zip(pdf["own"], pdf["every"])], bool)
+        return pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "weight": pdf["weight"], "significant": reach(alpha), "corrected": reach(alpha / len(pdf)), "nodewise": top >= level})
+
+    scored = aligned(edges, series).where(F.size("s") >= least).mapInPandas(run, "src long, dst long, weight double, own array<double>, every array<double>")
+    return scored.groupBy("dst").applyInPandas(judge, "src long, dst long, weight double, significant boolean, corrected boolean, nodewise boolean")
+
+
+def full_series(edges: DataFrame, series: DataFrame, weeks: list) -> DataFrame:
+    """src, dst, s, t: both series over all ``weeks``, null where a user is missing."""
+    m = series.groupBy("user").agg(F.map_from_entries(F.collect_list(F.struct("week", "theta"))).alias("m"))
+    m = m.select("user", F.array(*[F.try_element_at("m", F.lit(w)) for w in weeks]).alias("v"))
+    return edges.join(m.select(F.col("user").alias("src"), F.col("v").alias("s")), "src").join(m.select(F.col("user").alias("dst"), F.col("v").alias("t")), "dst").select("src", "dst", "s", "t")
+
+
+DRIFTS = ("unconstrained", "change", "direction")
+
 
-    return aligned(edges, series).where(F.size("s") >= least).mapInPandas(run, "src long, dst long, weight double, significant boolean")
+def drift_tests(edges: DataFrame, series: DataFrame, weeks: list, prior: float = 0.5, samples: int = 200) -> DataFrame:
+    """src, dst, similarity, p_unconstrained, p_change, p_direction: how often a target that drifts by chance meets the source better.
+
+    A synthetic target is drawn from the prior (unconstrained), or moves from its last value by a magnitude drawn from the Beta
+    distribution of all magnitudes (change), or by its own (direction). It depends on the target and the sample's number
+    only, so all edges into a target share it wherever they are tested.
+    """
+    c = change_series(series).where("direction IS NOT NULL").select("magnitude")
+    m = c.agg(F.avg("magnitude").alias("m"), F.var_pop("magnitude").alias("v")).first()
+    k = m.m * (1 - m.m) / m.v - 1 if m.v and m.v < m.m * (1 - m.m) else 0
+    beta = (m.m * k, (1 - m.m) * k) if k > 0 else (1.0, 1.0)
+
+    def array(v):
+        return np.array([[np.nan] * max(len(x) for x in v if x is not None) if x is None else list(x) for x in v], float)
+
+    def synthetic(kind: str, dst: int, t: np.ndarray, i: int) -> np.ndarray:
+        rng, a, out = seed("drift", kind, dst, i), np.full(t.shape[1], prior), np.full_like(t, np.nan)
+        for j in range(1, len(t)):
+            if np.isnan(t[j, 0]):
+                continue
+            if kind == "unconstrained" or np.isnan(t[j - 1, 0]):
+                out[j] = rng.dirichlet(a)
+                continue
+            room = 1 - min(t[j - 1].min(), 1)
+            magnitude = rng.beta(*beta) if kind == "change" else np.maximum(t[j] - t[j - 1], 0).sum() / max(room, 1e-300)
+            out[j] = K.at_distance(rng, a, t[j - 1], 2 * magnitude * room)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, made = None, {}
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                s, t = array(r.s), array(r.t)
+                if r.dst != held:
+                    held, made = r.dst, {}
+                now, ps = K.lagged_similarity(s, t, t, 1), []
+                for kind in DRIFTS:
+                    if np.isnan(now):
+                        ps.append(1.0)
+                        continue
+                    if kind not in made:
+                        made[kind] = [synthetic(kind, r.dst, t, i) for i in range(samples)]
+                    ps.append((1 + sum(K.lagged_similarity(s, t, x, 1) > now for x in made[kind])) / (1 + samples))
+                rows.append((r.src, r.dst, now if now == now else None, *ps))
+            yield pd.DataFrame(rows, columns=["src", "dst", "similarity", *[f"p_{k}" for k in DRIFTS]])
+
+    full = full_series(edges, series, weeks).repartition("dst", F.pmod(F.xxhash64("src"), F.lit(64))).sortWithinPartitions("dst")
+    return full.mapInPandas(run, "src long, dst long, similarity double, p_unconstrained double, p_change double, p_direction double")
+
+
+def hochberg(p: DataFrame, name: str, alpha: float = 0.05) -> DataFrame:
+    """The edges (src, dst) of ``p`` whose column ``name`` passes Benjamini-Hochberg among the edges into the same dst."""
+    w = Window.partitionBy("dst").orderBy(name, "src")
+    r = p.withColumn("i", F.row_number().over(w)).join(p.groupBy("dst").agg(F.count("*").alias("n")), "dst")
+    last = r.where(F.col(name) <= F.col("i") / F.col("n") * alpha).groupBy("dst").agg(F.max("i").alias("k"))
+    return r.join(last, "dst").where("i <= k").select("src", "dst")
+
+
+def similarity_networks(p: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """model, src, dst of the sub-models of tests with columns p (of permutations) and those of ``drift_tests``: each test alone, with
+    permutations uncorrected, and corrected by target; ``main`` is corrected permutations with the corrected unconstrained drift."""
+    perm = p.where(F.col("p") < alpha).select("src", "dst")
+    perm_bh = hochberg(p, "p", alpha)
+    out = perm.withColumn("model", F.lit("permutation"))
+    for k in DRIFTS:
+        alone = p.where(F.col(f"p_{k}") < alpha).select("src", "dst")
+        both = perm_bh.join(hochberg(p, f"p_{k}", alpha), ["src", "dst"], "left_semi")
+        out = out.unionByName(alone.withColumn("model", F.lit(k))).unionByName(alone.join(perm, ["src", "dst"], "left_semi").withColumn("model", F.lit(f"{k}-uncorrected")))
+        out = out.unionByName(both.withColumn("model", F.lit("main" if k == "unconstrained" else f"{k}-corrected")))
+    return out.select("model", "src", "dst")
+
+
+def fit_mixture(rows: DataFrame, ridge: float = 1e-4, steps: int = 60, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights of the n features, free vector, mean loss) of the mixture nearest to the targets; rows: x array<array<double>>, y.
+
+    Weights and vector are one point of the simplex, found by exponentiated gradient; a step adds up one gradient a partition, so
+    any number of rows takes part.
+    """
+    data = cut(rows.select("x", "y"))
+    n, k = data.select(F.size("x"), F.size("y")).first()
+
+    def loss(c: np.ndarray) -> tuple[float, np.ndarray, int]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(n + k + 2)
+            for b in batches:
+                if len(b):
+                    x, y = np.array([[list(v) for v in r] for r in b["x"]]), np.array([list(r) for r in b["y"]])
+                    s = np.maximum(np.einsum("n,rnk->rk", c[:n], x) + c[n:], 1e-300)
+                    norm = np.linalg.norm(s, axis=1, keepdims=True)
+                    g = np.log(2) - np.log(s + y) + np.log(s) + ridge * s / norm
+                    total += np.concatenate((np.einsum("rk,rnk->n", g, x), g.sum(axis=0), [((np.log(2) - np.log(s + y)) * (s + y) + s * np.log(s)).sum() + ridge * norm.sum(), len(b)]))
+            yield pd.DataFrame({"i": range(n + k + 2), "v": total})
+
+        got = np.zeros(n + k + 2)
+        for i, v in data.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v")).collect():  # n + k + 2 rows
+            got[i] = v
+        return got[-2] / got[-1], got[:-2] / got[-1], int(got[-1])
+
+    c, rate = np.full(n + k, 1 / (n + k)), 2.0
+    now, grad, _ = loss(c)
+    for _ in range(steps):
+        new = c * np.exp(-rate * (grad - grad.min()))
+        new /= new.sum()
+        got, g, _ = loss(new)
+        if got <= now:
+            done, c, now, grad, rate = now - got < tol, new, got, g, rate * 1.5
+            if done:
+                break
+        else:
+            rate /= 3
+    drop(data)
+    return c[:n], c[n:], now
 
 
 def permutation_test(edges: DataFrame, series: DataFrame, samples: int = 100) -> DataFrame:
@@ -193,19 +332,89 @@ def permutation(spark, d):
     return permutation_test(social.explicit_edges(spark, d), weekly_theta(spark, d))
 
 
+ROLES = ("own", "addressed", "exposure", "received", "incoming", "outgoing", "neighbours", "neighbours_addressed", "all", "all_addressed")
+
+
+def node_vectors(spark, d, center: str, length: int = 7) -> DataFrame:
+    """id, k, theta: the ten distributions of a core user before the date, in the order of ROLES; those that a user lacks are left out."""
+    from quern.operators.neighbourhood import WEIGHTS, features, weighted_mean
+    from quern.operators.theta import intervals, sliced, theta
+
+    m = cut(sliced(classified(spark, d), intervals(spark, centers=(center,), lengths=(length,)).where("sign < 0")))
+    a, o, prior = m.where("cls = 'ADDR'"), m.where("cls = 'NON_ADDR'"), [0.2] * 5
+    own, sent, got = theta(o, "sender").withColumnRenamed("sender", "id"), theta(a, "sender").withColumnRenamed("sender", "id"), theta(a, "other").withColumnRenamed("other", "id")
+    e = social.explicit_edges(spark, d).where("src <> dst")
+    near = cut(e.select(F.col("src").alias("origin"), F.col("dst").alias("candidate")).join(features(spark, d).select("candidate", "n_in"), "candidate"))
+    seen = theta(a.select("sender", F.col("other").alias("id")).distinct().join(o.select("sender", "topic"), "sender"), "id")  # what those who write to a user post
+    pair = theta(a, "sender", "other")
+    w = WEIGHTS["NUM_INCOMING_1P"]()
+    of = lambda v: weighted_mean(near, v.select(F.col("id").alias("candidate"), F.col("theta").alias("c_theta")), w, prior).withColumnRenamed("origin", "id")
+    both = near.withColumn("candidate", F.struct("origin", "candidate"))
+    along = lambda x, y: weighted_mean(both, pair.select(F.struct(F.col(x).alias("origin"), F.col(y).alias("candidate")).alias("candidate"), F.col("theta").alias("c_theta")), w, prior).withColumnRenamed("origin", "id")
+    ids = social.users(spark, d).where("is_core").select("id")
+    one = lambda x: ids.crossJoin(F.broadcast(theta(x.withColumn("_all", F.lit(1)), "_all").select("theta")))  # noqa: E731  # one row
+    parts = (own, sent, seen, got, along("other", "sender"), along("sender", "other"), of(own), of(sent), one(o), one(a))
+    out = None
+    for k, p in enumerate(parts):
+        x = p.select("id", F.lit(k).alias("k"), "theta")
+        out = x if out is None else out.unionByName(x)
+    return out.join(ids, "id", "left_semi")
+
+
 def mixture_model(spark, d):
-    """How much of a user's next week its last week and the mean of all explain: weights on the simplex."""
-    t = change_series(weekly_theta(spark, d)).select("user", "week", "theta")
-    w = Window.partitionBy("user").orderBy("week")
-    x = t.withColumn("past", F.lag("theta").over(w)).where("past IS NOT NULL")
+    """Weights of the ten sources of a user's next week at 2024-01-22, fitted on users of even id, and the errors on the others."""
+    from quern.operators.theta import intervals, sliced, theta
+
+    f = node_vectors(spark, d, "2024-01-22").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "theta"))).alias("m"))
+    prior = F.array(*[F.lit(0.2)] * 5)
+    x = f.select("id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(k)), prior) for k in range(len(ROLES))]).alias("x"))
+    after = sliced(classified(spark, d).where("cls = 'NON_ADDR'"), intervals(spark, centers=("2024-01-22",), lengths=(7,)).where("sign > 0"))
+    rows = cut(x.join(theta(after, "sender").select(F.col("sender").alias("id"), F.col("theta").alias("y")), "id"))
+    c, free, _ = fit_mixture(rows.where("id % 2 = 0"))
+    guess = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda t: sum(float(w) * F.get(F.get(F.col("x"), F.lit(i)), t) for i, w in enumerate(c)) + F.get(F.array(*[F.lit(float(v)) for v in free]), t))
+    jsd = rows.where("id % 2 = 1").agg(F.avg(V.jsd_2("y", guess))).first()[0]
+    weights = [*zip(ROLES, map(float, c)), ("free", float(free.sum())), ("test error", float(jsd) if jsd is not None else None)]
+    return spark.createDataFrame(weights, "name string, value double")
+
+
+def series_weeks(spark, d) -> tuple[DataFrame, list]:
+    t = cut(weekly_theta(spark, d))
+    return t, [r.week for r in t.select("week").distinct().orderBy("week").collect()]  # one row a week
+
+
+def drift(spark, d):
+    t, weeks = series_weeks(spark, d)
+    return drift_tests(social.explicit_edges(spark, d), t, weeks)
+
+
+def influence_models(spark, d):
+    """Edges of each sub-model of similarity with its tests."""
+    t, weeks = series_weeks(spark, d)
+    e = social.explicit_edges(spark, d)
+    return similarity_networks(cut(drift_tests(e, t, weeks, samples=100).join(permutation_test(e, t), ["src", "dst"]))).groupBy("model").agg(F.count("*").alias("edges"))
+
+
+def hmm_embedding(spark, d):
+    """Models of the pace of users who address, view and share most, laid out in the plane by the distances of their transitions, in two to
+    three clusters: the cluster of each, and the exemplars."""
+    w = Window.partitionBy("sender").orderBy("ts", "id")
+    m = classified(spark, d).withColumn("x", F.ln(((epoch(F.col("ts")) - F.lag(epoch(F.col("ts"))).over(w)) / 1e6))).where("x IS NOT NULL").withColumn("kind", F.concat_ws("-", "event_type", F.col("topic").cast("string")))
+    seqs = m.groupBy("kind", "sender").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "x"))), lambda s: s["x"]).alias("x")).withColumn("complete", F.lit(True))
 
-    def run(key, pdf):
-        past, now = np.array([list(v) for v in pdf["past"]]), np.array([list(v) for v in pdf["theta"]])
-        mean = np.broadcast_to(now.mean(axis=0), now.shape)
-        c, free = K.simplex_mixture(np.stack((past, mean), axis=1), now, steps=300)
-        return pd.DataFrame({"week": [str(key[0])[:10]], "past": [c[0]], "mean": [c[1]], "free": [free.sum()], "n": [len(pdf)]})
+    def fit(key, pdf):
+        h, ll = K.fit_hmm([(np.array(x, float), True) for x in pdf["x"]], 2, 30)
+        at = np.argsort(h.mean)
+        return pd.DataFrame({"kind": [key[0]], "move": pd.Series([h.move[np.ix_(at, at)].ravel().tolist()], dtype=object)})
 
-    return x.groupBy(F.date_format("week", "yyyy-MM-dd").alias("w")).applyInPandas(run, "week string, past double, mean double, free double, n long")
+    models = seqs.groupBy("kind").applyInPandas(fit, "kind string, move array<double>").orderBy("kind").collect()  # a row per kind
+    moves = [np.array(r.move).reshape(2, 2) for r in models]
+    dist = np.array([[np.mean([np.sqrt(max(K.jsd(a[i], b[i]) / np.log(2), 0)) for i in range(2)]) for b in moves] for a in moves])
+    x, _ = K.mds(dist)
+    out = []
+    for k in (2, 3):
+        own, exemplars, _ = K.kmeans(x, k, seed("embedding", k))
+        out += [(k, r.kind, int(own[i]), i in exemplars) for i, r in enumerate(models)]
+    return spark.createDataFrame(out, "clusters int, kind string, cluster int, exemplar boolean")
 
 
 def dist_fit(spark, d):
@@ -259,4 +468,7 @@ QUERIES = {
     "granger": (granger, None),
     "permutation": (permutation, None),
     "mixture_model": (mixture_model, None),
+    "drift": (drift, None),
+    "influence_models": (influence_models, None),
+    "hmm_embedding": (hmm_embedding, None),
 }
