@@ -16,7 +16,7 @@ from quern.llm.common import worker_cache
 
 SPACED = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
-LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = ".,;:!?#$%&*|()<>-"
 CACHE_WORDS = 200_000
 
@@ -59,7 +59,7 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.spaced, self.letters = self.tokenizer.model, spaced, byte_letters()
         # Words as they stand; for byte-level patterns also words after one space, kept without it.
-        self.plain, self.after_space = Cache(self.new, limit), Cache(self.new_after_space, limit)
+        self.plain, self.after_space = Cache(self.new, limit // 4 if spaced else limit), Cache(self.new_after_space, limit)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -68,12 +68,11 @@ class Words:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def new_after_space(self, word: str) -> bytes:
-        if word.isascii():
-            if word.isalpha():
-                return self.unit("\u0120" + word)  # how byte-level vocabularies write a space
-            head = word.rstrip(MARKS)
-            if head.isalpha():
-                return self.after_space[head] + self.plain[word[len(head) :]]
+        if word.isascii() and word.isalpha():
+            return self.unit("\u0120" + word)  # how byte-level vocabularies write a space
+        head = word.rstrip(MARKS)
+        if len(head) < len(word) and LATIN.fullmatch(head):
+            return self.after_space[head] + self.plain[word[len(head) :]]
         return self.new(" " + word)
 
     def new(self, word: str) -> bytes:
