@@ -490,6 +490,51 @@ class Hmm:
         return Hmm(first / done if done else self.start, np.where(rows > 0, pair / np.maximum(rows, 1e-300), 1 / n), m1 / w, np.maximum(m2 / w - (m1 / w) ** 2, 1e-6))
 
 
+#: Cells (models x sequences x steps x states) of the arrays that are filled at once.
+HMM_CELLS = 4_000_000
+
+
+def hmm_statistics(models: list[Hmm], sequences: list[np.ndarray], complete: list[bool], weight: np.ndarray) -> np.ndarray:
+    """Rows as of ``Hmm.statistics`` for several models of as many states: row f adds up the sequences with ``weight`` (models x sequences).
+
+    All models and sequences go side by side, one step at a time, the longest sequences first; each step is scaled to add up to 1.
+    """
+    n, out = len(models[0].mean), np.zeros((len(models), 2 + 4 * len(models[0].mean) + len(models[0].mean) ** 2))
+    move, start, mean, var = (np.stack([getattr(m, k) for m in models]) for k in ("move", "start", "mean", "var"))
+    order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: -len(sequences[i]))
+    while order:
+        take = max(1, HMM_CELLS // (len(models) * len(sequences[order[0]]) * n))
+        part, order = order[:take], order[take:]
+        size = np.array([len(sequences[i]) for i in part])
+        steps = int(size[0])
+        x = np.zeros((len(part), steps))
+        for r, i in enumerate(part):
+            x[r, : size[r]] = sequences[i]
+        on = np.arange(steps)[None, :] < size[:, None]
+        width = on.sum(axis=0)
+        w, done = weight[:, part], np.array([complete[i] for i in part], bool)
+        e = -0.5 * (np.log(2 * np.pi * var)[:, None, None] + (x[None, :, :, None] - mean[:, None, None]) ** 2 / var[:, None, None])
+        top = e.max(axis=3)
+        e = np.exp(e - top[..., None])
+        f, scale, b, y = np.zeros_like(e), np.ones(e.shape[:3]), np.ones_like(e), np.zeros_like(e)
+        for t in range(steps):
+            d = width[t]
+            v = e[:, :d, t] * (f[:, :d, t - 1] @ move if t else np.where(done[None, :, None], start[:, None], 1 / n))
+            scale[:, :d, t] = np.maximum(v.sum(axis=2), 1e-300)
+            f[:, :d, t] = v / scale[:, :d, t, None]
+        for t in range(steps - 1, 0, -1):
+            d = width[t]
+            y[:, :d, t] = e[:, :d, t] * b[:, :d, t] / scale[:, :d, t, None]
+            b[:, :d, t - 1] = y[:, :d, t] @ move.transpose(0, 2, 1)
+        g = f * b * on[None, :, :, None] * w[:, :, None, None]
+        rows = (len(models), len(part) * (steps - 1), n)
+        pair = move * ((f[:, :, :-1] * w[:, :, None, None]).reshape(rows).transpose(0, 2, 1) @ y[:, :, 1:].reshape(rows))
+        ll = ((np.log(scale) + top) * on[None]).sum(axis=2)
+        moments = [(g * x[None, :, :, None] ** k).sum(axis=(1, 2)) for k in range(3)]
+        out += np.concatenate(((ll * w).sum(axis=1)[:, None], (w * done).sum(axis=1)[:, None], (g[:, :, 0] * done[None, :, None]).sum(axis=1), pair.reshape(len(models), -1), *moments), axis=1)
+    return out
+
+
 def start_hmm(values: np.ndarray, n: int) -> Hmm:
     """States at quantiles of the values."""
     q = np.quantile(values, (np.arange(n) + 0.5) / n)
@@ -499,7 +544,7 @@ def start_hmm(values: np.ndarray, n: int) -> Hmm:
 def fit_hmm(sequences: list[tuple[np.ndarray, bool]], n: int, steps: int = 100, tol: float = 1e-6) -> tuple[Hmm, float]:
     h, last = start_hmm(np.concatenate([x for x, _ in sequences]), n), -math.inf
     for _ in range(steps):
-        s = np.sum([h.statistics(x, c) for x, c in sequences], axis=0)
+        s = hmm_statistics([h], [x for x, _ in sequences], [c for _, c in sequences], np.ones((1, len(sequences))))[0]
         if s[0] < last or s[0] - last < tol:
             break
         h, last = h.updated(s), s[0]

@@ -43,9 +43,7 @@ def fit_hmm(sequences: DataFrame, states: int, steps: int = 20, tol: float = 1e-
         def run(batches: Iterator[pd.DataFrame], h=h) -> Iterator[pd.DataFrame]:
             total = np.zeros(size)
             for b in batches:
-                for x, c in zip(b["x"], b["complete"]):
-                    if len(x):
-                        total += h.statistics(np.array(x, float), bool(c))
+                total += K.hmm_statistics([h], [np.array(x, float) for x in b["x"]], list(b["complete"]), np.ones((1, len(b))))[0]
             yield pd.DataFrame({"k": range(size), "v": total})
 
         rows = sequences.select("x", "complete").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v")).collect()  # `size` rows
@@ -80,11 +78,12 @@ def hmm_selection(sequences: DataFrame, most: int = 20, folds: int = 10, steps:
         def run(batches: Iterator[pd.DataFrame], now=active) -> Iterator[pd.DataFrame]:
             total: dict = {}
             for b in batches:
-                for f, x, c in zip(b["fold"], b["x"], b["complete"]):
-                    x = np.array(x, float)
-                    for (n, k), h in now.items():
-                        if f != k:
-                            total[n, k] = total.get((n, k), 0) + h.statistics(x, bool(c))
+                xs, fold = [np.array(x, float) for x in b["x"]], np.array(b["fold"])
+                for n in {n for n, _ in now}:
+                    own = [k for m, k in now if m == n]
+                    weight = np.array([fold != k for k in own], float)
+                    for k, s in zip(own, K.hmm_statistics([now[n, k] for k in own], xs, list(b["complete"]), weight)):
+                        total[n, k] = total.get((n, k), 0) + s
             yield pd.DataFrame({"n": [n for n, _ in total], "k": [k for _, k in total], "s": pd.Series(list(total.values()), dtype=object)})
 
         if not active:
@@ -105,9 +104,12 @@ def hmm_selection(sequences: DataFrame, most: int = 20, folds: int = 10, steps:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for b in batches:
-            for f, x, c in zip(b["fold"], b["x"], b["complete"]):
-                x = np.array(x, float)
-                rows += [(n, k, h.log_likelihood(x, bool(c)), len(x)) for (n, k), h in models.items() if k == f]
+            xs, fold = [np.array(x, float) for x in b["x"]], np.array(b["fold"])
+            for n in {n for n, _ in models}:
+                own = [k for m, k in models if m == n]
+                weight = np.array([fold == k for k in own], float)
+                got = K.hmm_statistics([models[n, k] for k in own], xs, list(b["complete"]), weight)
+                rows += [(n, k, s[0], int(sum(len(x) for x, f in zip(xs, fold) if f == k))) for k, s in zip(own, got) if (fold == k).any()]
         found = pd.DataFrame(rows, columns=["n", "k", "ll", "size"])
         yield found.groupby(["n", "k"], as_index=False).sum()
 

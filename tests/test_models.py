@@ -158,3 +158,13 @@ def test_hmm_grid(spark, monkeypatch):
     monkeypatch.setattr(M, "hmm_selection", lambda sequences, *grid: asked.append(grid))
     M.hmm_states(spark, D)
     assert asked == [(20, 10)]
+
+
+def test_hmm_statistics_of_many_against_single_ones():
+    rng = np.random.default_rng(6)
+    models = [K.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.normal(size=3), rng.random(3) + 0.3) for _ in range(2)]
+    seqs, complete = [rng.normal(size=n) for n in (5, 0, 9, 1, 4)], [True, True, False, True, False]
+    weight = rng.integers(0, 2, (2, 5)).astype(float)
+    got = K.hmm_statistics(models, seqs, complete, weight)
+    for f, h in enumerate(models):
+        assert np.allclose(got[f], sum(w * h.statistics(x, c) for w, x, c in zip(weight[f], seqs, complete) if len(x) and w))
