@@ -324,14 +324,12 @@ def kth_permutation(n: int, k: int) -> list[int]:
     return out
 
 
-def fit_beta(x: np.ndarray) -> tuple[float, float]:
-    """Parameters of a Beta distribution by moments; values at 0 and 1 are moved in a little. Without spread: uniform."""
-    x = np.clip(x, 1e-6, 1 - 1e-6)
-    m, v = float(x.mean()), float(x.var())
-    if not 0 < v < m * (1 - m):
+def fit_beta(mean: float, var: float) -> tuple[float, float]:
+    """Parameters of a Beta distribution with these moments; uniform where there is none, or no spread."""
+    if not 1e-12 < var < mean * (1 - mean):
         return 1.0, 1.0
-    k = m * (1 - m) / v - 1
-    return m * k, (1 - m) * k
+    k = mean * (1 - mean) / var - 1
+    return mean * k, (1 - mean) * k
 
 
 def at_distance(rng: np.random.Generator, prior: np.ndarray, center: np.ndarray, far: float, tries: int = 100) -> np.ndarray:

@@ -182,8 +182,7 @@ def drift_tests(edges: DataFrame, series: DataFrame, weeks: list, prior: float =
     """
     c = change_series(series).where("direction IS NOT NULL").select("magnitude")
     m = c.agg(F.avg("magnitude").alias("m"), F.var_pop("magnitude").alias("v")).first()
-    k = m.m * (1 - m.m) / m.v - 1 if m.v and m.v < m.m * (1 - m.m) else 0
-    beta = (m.m * k, (1 - m.m) * k) if k > 0 else (1.0, 1.0)
+    beta = K.fit_beta(m.m or 0.0, m.v or 0.0)
 
     def array(v):
         return np.array([[np.nan] * max(len(x) for x in v if x is not None) if x is None else list(x) for x in v], float)

@@ -60,7 +60,7 @@ def lagged_similarity(edges: DataFrame, series: DataFrame, steps: int, least_act
     ``steps`` is the number of weeks T; the sum is divided by T - 1 whatever is missing. Below ``least_active`` active
     steps the similarity is null.
     """
-    c = change_series(series)
+    c = cut(change_series(series))  # both sides of the join read it
     src = c.select(F.col("user").alias("src"), (F.col("week") + F.expr("INTERVAL 7 DAYS")).alias("week"), F.col(use).alias("_s"))
     dst = c.select(F.col("user").alias("dst"), "week", F.col("direction").alias("_d"), "magnitude")
     at = edges.join(dst, "dst").join(src, ["src", "week"]).where("_s IS NOT NULL AND _d IS NOT NULL")
