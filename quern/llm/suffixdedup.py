@@ -326,7 +326,9 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, wi
     names = ["doc_id", *keep]
     spans = marks(docs, window)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.cast("binary").alias("_b"), F.unhex(F.md5(text)).alias("t"))
+    # Texts without a window have no marks: a key of their own each keeps them from meeting in one task.
+    key = F.when(F.octet_length(text) >= window.least, F.unhex(F.md5(text))).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()).cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.cast("binary").alias("_b"), key.alias("t"))
     joined = rows.join(spans, "t", "left").select(*names, "_b", "spans")
 
     def run(batches: Iterator) -> Iterator:

@@ -603,3 +603,32 @@ def test_rans_parts_and_damage(monkeypatch):
     hurt[len(hurt) // 2] ^= 1
     with pytest.raises(ValueError):
         tokenfiles.read_block(bytes(hurt), *table)
+
+
+def test_very_long_texts(spark):
+    """A text of 400 KB beside a near copy of it and short ones, through the operators that have a brute force."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long = sentence(rng, 62_000, words)
+    near = long[:200_000] + " changed here " + long[200_000:]
+    texts = [long, near, "short one", None, sentence(rng, 50, words)]
+    assert len(long) > 350_000
+    df = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=2).collect()}
+    assert got == {i: (len(shingle_set(t, 2)), 0 if i < 2 else i) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.size for r in mixing.mix(df).collect()} == {i: len(split(t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.size for r in sharding.shard(df).collect()} == {i: len((t or "").encode()) + 1 for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.rest).hexdigest()) for r in suffixdedup.dedup(df).collect()} == dict(enumerate(suffixdedup.brute_force(texts)))
+    field = quality.fit([])
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.assess(df, field).collect()} == {i: base_counts(t) for i, t in enumerate(texts)}
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+    pieces: dict = {}
+    for r in sorted(packing.pack(df, path).collect(), key=lambda r: (r.doc_id, r.piece)):
+        pieces[r.doc_id] = pieces.get(r.doc_id, b"") + bytes(r.ids)
+    assert pieces == {i: struct.pack(f"<{len(v)}I", *v) for i, v in want.items()}
+    back = {r.doc_id: bytes(r.ids) for r in tokenfiles.round_trip(df, path).collect()}
+    assert back == pieces

@@ -87,3 +87,13 @@ def test_near_duplicates_by_row(spark):
     got = Counter((r.doc_id, r.text) for r in out.collect())
     first = next(x for x in ((None, say(e)), (None, near(e))) if x in got)
     assert got == Counter([(1, say(a)), (None, say(b)), (2, say(c)), (3, say(d)), first, (4, say(f)), (4, say(g)), (5, None), (None, None)])
+
+
+def test_stages_of_no_rows(spark, corpus, tmp_path):
+    """Every stage of an empty table gives no rows and the columns of documents; the last its pieces' columns."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage_of in P.STAGES[:4]:
+        out = stage_of(spark, docs, str(tmp_path))
+        assert out.columns == list(P.COLUMNS) and out.count() == 0, name
+    assert P.run(spark, str(tmp_path)).count() == 0
