@@ -1,4 +1,4 @@
-"""Eligibility, feature assembly with fallbacks, neighbourhood grids, and the reports that judge influence models."""
+"""Eligibility, feature assembly with fallbacks, neighbourhood grids, and the reports that judge models of who follows whom."""
 
 from __future__ import annotations
 

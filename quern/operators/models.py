@@ -388,7 +388,7 @@ def drift(spark, d):
     return drift_tests(social.explicit_edges(spark, d), t, weeks)
 
 
-def influence_models(spark, d):
+def similarity_models(spark, d):
     """Edges of each sub-model of similarity with its tests."""
     t, weeks = series_weeks(spark, d)
     e = social.explicit_edges(spark, d)
@@ -470,6 +470,6 @@ QUERIES = {
     "permutation": (permutation, None),
     "mixture_model": (mixture_model, None),
     "drift": (drift, None),
-    "influence_models": (influence_models, None),
+    "similarity_models": (similarity_models, None),
     "hmm_embedding": (hmm_embedding, None),
 }
