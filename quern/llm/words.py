@@ -18,7 +18,7 @@ SPACED = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = ".,;:!?#$%&*|()<>-"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -28,6 +28,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def by_ranks(path: str):
+    """From a byte-level tokenizer file a function from a unit's bytes to its ids; None where ids don't rise with the merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, back = model["vocab"], {c: b for b, c in byte_letters().items()}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    singles = [vocab[c] for c in back]
+    if model.get("ignore_merges") or made != sorted(made) or len(set(made)) != len(made) or (made and max(singles) > made[0]):
+        return None
+    known = {*made, *singles}
+    ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if i in known}
+    return tiktoken.Encoding("units", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Cache(dict):
     """word -> its ids as little-endian unsigned 32-bit integers, by ``make``. Two generations bound its memory."""
 
@@ -50,7 +66,8 @@ class Words:
     """Ids of texts from those of their words.
 
     A run of Latin-1 letters is one unit of either pattern, so its ids are those of the library's model on that unit, and
-    punctuation after it is the next unit; the library's whole pipeline encodes all other words.
+    punctuation after it is the next unit; the library's whole pipeline encodes all other words. A byte-level vocabulary whose
+    ids rise with its merges gives each unit the same ids by ranks, which ``tiktoken`` finds without an object a token.
     """
 
     def __init__(self, path: str, spaced: bool, limit: int = CACHE_WORDS):
@@ -58,6 +75,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.spaced, self.letters = self.tokenizer.model, spaced, byte_letters()
+        self.ranks = by_ranks(path) if spaced else None
         # Words as they stand; for byte-level patterns also words after one space, kept without it.
         self.plain, self.after_space = Cache(self.new, limit // 4 if spaced else limit), Cache(self.new_after_space, limit)
 
@@ -65,23 +83,24 @@ class Words:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def unit(self, letters: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        """Ids of letters in the case that the vocabulary takes, perhaps after a space."""
+        if self.ranks:
+            return array("I", self.ranks(letters.encode())).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def new_after_space(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self.unit("\u0120" + word)  # how byte-level vocabularies write a space
+        if word.isalpha() and LATIN.fullmatch(word):
+            return self.unit(" " + word)
         head = word.rstrip(MARKS)
         if len(head) < len(word) and LATIN.fullmatch(head):
             return self.after_space[head] + self.plain[word[len(head) :]]
         return self.new(" " + word)
 
     def new(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self.unit(word if self.spaced else word.lower())
+        if word.isascii() and word.isalpha() and not self.spaced:
+            return array("I", [t.id for t in self.model.tokenize(word.lower())]).tobytes()
         if LATIN.fullmatch(word):
-            if not self.spaced:
-                word = word.lower()
-            return self.unit(word.encode().decode("latin-1").translate(self.letters))
+            return self.unit(word if self.spaced else word.lower())
         head = word.rstrip(MARKS)
         if len(head) < len(word) and LATIN.fullmatch(head):
             return self.plain[head] + self.plain[word[len(head) :]]

@@ -42,8 +42,73 @@ def test_stages(spark, corpus):
     assert sizes and max(sizes.values()) <= 1024
 
 
-def test_run(spark, corpus):
-    assert P.run(spark, corpus[0]).count() > 0
+def plain_run(rows):
+    """(doc_id, piece, start, ids) of the pipeline's result by plain loops over all texts."""
+    import hashlib
+    import math
+    import re
+    import struct
+
+    import public_tokenizers
+    from quern.llm import suffixdedup
+    from tokenizers import Tokenizer
+
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    kept = sorted({r for r in rows if any(c.isalpha() for c in r[1] or "")})  # no text of this corpus lies between its languages
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words(r[1].lower()) for r in kept)]
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    for i, r in enumerate(kept):
+        first[group[i]] = min(first.get(group[i], r), r)
+    docs = sorted(first.values())
+    cut = []
+    for r, spans in zip(docs, suffixdedup.brute_force_words([r[1] for r in docs])):
+        b, ends = r[1].encode(), [0, *[x for s in spans for x in s]]
+        ends.append(len(b))
+        rest = b"".join(b[s:e] for s, e in zip(ends[::2], ends[1::2])).decode("utf-8", "ignore")
+        if not spans or words(rest):
+            cut.append((r[0], rest, r[3], len(words(rest))))
+    size, goal, left = Counter(), {}, {}
+    for d in cut:
+        size[d[2]] += d[3]
+    left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size))}
+    rest = float(sum(size.values()))
+    while left:
+        full = [s for s in left if rest * left[s] / sum(left.values()) >= 3 * size[s]]
+        for s in full or list(left):
+            goal[s] = 3.0 * size[s] if full else rest * left[s] / sum(left.values())
+        if not full:
+            break
+        rest -= sum(goal[s] for s in full)
+        left = {s: w for s, w in left.items() if s not in full}
+    t, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for source in size:
+        u, e = int(hashlib.md5(f"mix:{source}".encode()).hexdigest()[:7], 16) / (1 << 28), goal[source] / size[source]
+        for k, d in enumerate(sorted((d for d in cut if d[2] == source), key=lambda d: (d[3], d[0])), 1):
+            ids = t.encode(d[1], add_special_tokens=False).ids + [2]
+            ends = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+            for piece, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                out[d[0], piece, a, struct.pack(f"<{b - a}I", *ids[a:b])] += math.floor(k * e + u) - math.floor((k - 1) * e + u)
+    return +out
+
+
+def test_run_against_plain_loops(spark, corpus):
+    d, rows, _ = corpus
+    got = P.run(spark, d).collect()
+    assert Counter((r.doc_id, r.piece, r.start, bytes(r.ids)) for r in got) == plain_run(rows)
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 1024
 
 
 def test_repeats_of_51_words(spark):
