@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.messages import ADDR, classified, epoch, links
-from quern.operators.tables import cut, drop, ranked
+from quern.operators.tables import cut, ranked
 from quern.operators.theta import weekly
 from quern.sources import social
 from quern.sources.social import sql
@@ -29,19 +29,17 @@ def roots(link: DataFrame) -> DataFrame:
     tree = link.where("parent IS NOT NULL").select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).alias("depth"))
     heads = tree.select(F.col("up").alias("node")).join(tree.select("node"), "node", "left_anti").distinct().select("node", F.col("node").alias("up"), F.lit(0).alias("depth"))
     single = link.where("parent IS NULL").select(F.col("child").alias("node")).join(tree.select(F.col("up").alias("node")), "node", "left_anti").select("node", F.col("node").alias("up"), F.lit(0).alias("depth"))
-    # Nodes whose pointer is at a root are done; only the others go on, and meet all.
-    top = heads.unionByName(single)
-    tops, done, cur = top.select(F.col("node").alias("up")), cut(top), cut(tree)
+    # Nodes whose pointer is at a root are done; only the others go on, and meet all. One table is written a round.
+    done = cut(heads.unionByName(single))
+    tops, cur = done.select(F.col("node").alias("up"), F.lit(True).alias("_top")), tree
     for _ in range(MOST_ROUNDS):
-        at_root = cut(cur.join(tops, "up", "left_semi").select("node", "up", "depth"))
-        left = cut(cur.join(tops, "up", "left_anti").select("node", "up", "depth"))
-        done = done.unionByName(at_root)
-        drop(cur)
+        seen = cut(cur.join(tops, "up", "left").select("node", "up", "depth", F.coalesce("_top", F.lit(False)).alias("_top")))
+        left = seen.where("NOT _top").drop("_top")
+        done = done.unionByName(seen.where("_top").drop("_top"))
         if not left.limit(1).count():
             return done.select("node", F.col("up").alias("root"), "depth")
         x, y = left.alias("x"), done.unionByName(left).alias("y")
-        cur = cut(x.join(y, F.col("x.up") == F.col("y.node")).select(F.col("x.node"), F.col("y.up"), (F.col("x.depth") + F.col("y.depth")).alias("depth")))
-        drop(left)
+        cur = x.join(y, F.col("x.up") == F.col("y.node")).select(F.col("x.node"), F.col("y.up"), (F.col("x.depth") + F.col("y.depth")).alias("depth"))
     raise ValueError("links form a cycle")
 
 
