@@ -153,6 +153,31 @@ def test_hmm_selection_on_held_out_folds(spark):
     assert all(np.isfinite(r.bic) for r in got) and min(mean, key=mean.get) == 3
 
 
+def test_hmm_selection_in_tasks(spark, monkeypatch):
+    """A table of one partition is not one task's work, and small tables' fits, each whole in a task, are those of passes over the sequences."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=i % 9) + 5 * (i % 2)], i % 3 == 0) for i in range(40)] + [(40, [float("nan")] * 3, True), (41, None, True)]
+    cut, parts = M.cut, []
+
+    def cutting(df):
+        parts.append(len([1 for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]))
+        return cut(df)
+
+    monkeypatch.setattr(M, "cut", cutting)
+    odd = spark.createDataFrame(rows, "id long, x array<double>, complete boolean").coalesce(1)
+    for df in (odd, odd.where("id < 40"), odd.where("id < 0"), odd.where("id = 5")):
+        found = []
+        for values in (10**6, 0):
+            monkeypatch.setattr(M, "HMM_VALUES", values, raising=False)
+            found.append({(r.states, r.fold): r.bic for r in M.hmm_selection(df, 3, 4, steps=6).collect()})
+        a, b = found
+        assert sorted(a) == sorted(b) == [(n, k) for n in range(1, 4) for k in range(4)]
+        assert all(np.isclose(a[k], b[k], rtol=1e-9) for k in a)
+        if df is not odd and df.count() > 1:
+            assert all(np.isfinite(v) for v in a.values())
+    assert parts[0] > 1
+
+
 def test_hmm_grid(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(M, "hmm_selection", lambda sequences, *grid: asked.append(grid))
