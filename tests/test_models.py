@@ -178,6 +178,14 @@ def test_hmm_selection_in_tasks(spark, monkeypatch):
     assert parts[0] > 1
 
 
+def test_hmm_starts_do_not_depend_on_partitions():
+    """The smallest value whose share of the values is the cut or more, by hand; a fold that leaves nothing has no start."""
+    row = lambda fold, *x: type("Row", (), {"fold": fold, "x": x})
+    got = M.exact_starts([row(0, 4.0, 1.0), row(0, None, 3.0), row(1, 2.0)], 3, [0.5, 0.25, 0.75])
+    assert got[0] == ([2.0] * 3, 0.0) and got[1][0] == [3.0, 1.0, 4.0] and got[2][0] == [2.0, 1.0, 3.0]
+    assert M.exact_starts([row(0, 4.0)], 2, [0.5]) == {1: ([4.0], 0.0)}
+
+
 def test_hmm_grid(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(M, "hmm_selection", lambda sequences, *grid: asked.append(grid))
