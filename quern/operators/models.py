@@ -263,8 +263,10 @@ def drift_tests(edges: DataFrame, series: DataFrame, weeks: list, prior: float =
     m = c.agg(F.avg("magnitude").alias("m"), F.var_pop("magnitude").alias("v")).first()
     beta = K.fit_beta(m.m or 0.0, m.v or 0.0)
 
+    width = len((series.first() or {"theta": ()})["theta"])
+
     def array(v):
-        return np.array([[np.nan] * max(len(x) for x in v if x is not None) if x is None else list(x) for x in v], float)
+        return np.array([[np.nan] * width if x is None else list(x) for x in v], float)
 
     def synthetic(kind: str, dst: int, t: np.ndarray, i: int) -> np.ndarray:
         rng, a, out = seed("drift", kind, dst, i), np.full(t.shape[1], prior), np.full_like(t, np.nan)
@@ -282,23 +284,25 @@ def drift_tests(edges: DataFrame, series: DataFrame, weeks: list, prior: float =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, made = None, {}
         for b in batches:
-            rows = []
-            for r in b.itertuples():
-                s, t = array(r.s), array(r.t)
-                if r.dst != held:
-                    held, made = r.dst, {}
-                now, ps = K.lagged_similarity(s, t, t, 1), []
-                for kind in DRIFTS:
-                    if np.isnan(now):
-                        ps.append(1.0)
-                        continue
-                    if kind not in made:
-                        made[kind] = [synthetic(kind, r.dst, t, i) for i in range(samples)]
-                    ps.append((1 + sum(K.lagged_similarity(s, t, x, 1) > now for x in made[kind])) / (1 + samples))
-                rows.append((r.src, r.dst, now if now == now else None, *ps))
-            yield pd.DataFrame(rows, columns=["src", "dst", "similarity", *[f"p_{k}" for k in DRIFTS]])
-
-    full = full_series(edges, series, weeks).repartition("dst", F.pmod(F.xxhash64("src"), F.lit(64))).sortWithinPartitions("dst")
+            out = []
+            for dst, rows in b.groupby("dst", sort=False):
+                if dst != held:
+                    held, made = dst, {}
+                t = array(rows["t"].iloc[0])
+                s = np.stack([array(x) for x in rows["s"]])
+                now = K.lagged_similarities(s, t, t[None], 1)[:, 0]
+                p, known = np.ones((len(s), len(DRIFTS))), ~np.isnan(now)
+                for i, kind in enumerate(DRIFTS):
+                    if known.any():
+                        if kind not in made:
+                            made[kind] = np.stack([synthetic(kind, int(dst), t, j) for j in range(samples)])
+                        p[known, i] = (1 + (K.lagged_similarities(s[known], t, made[kind], 1) > now[known, None]).sum(axis=1)) / (1 + samples)
+                out.append(pd.DataFrame({"src": rows["src"].to_numpy(), "dst": dst, "similarity": pd.Series(now, dtype=object).where(known, None)} | {f"p_{k}": p[:, i] for i, k in enumerate(DRIFTS)}))
+            if out:
+                yield pd.concat(out)
+
+    # Balanced ranges: a target's samples are drawn once a range that holds it, and no target is one task's work.
+    full = full_series(edges, series, weeks).repartitionByRange(tasks(edges), "dst", "src").sortWithinPartitions("dst")
     return full.mapInPandas(run, "src long, dst long, similarity double, p_unconstrained double, p_change double, p_direction double")
 
 
