@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
-from quern.operators.graphs import two_hop
+from quern.operators.graphs import reach, two_hop
 from quern.operators.messages import ADDR, NON_ADDR, SHARED, classified
+from quern.operators.tables import cut
 from quern.operators.theta import exploded, theta, weekly_theta
 from quern.sources import social
 from quern.sources.social import sql
@@ -144,8 +145,17 @@ def comm(spark, d):
 
 
 def indicator_sizes(spark, d):
-    m = memberships(social.explicit_edges(spark, d), comm(spark, d))
-    return m.groupBy("indicator", "origin").agg(F.count("*").alias("n")).groupBy("indicator").agg(F.count("*").alias("origins"), F.sum("n").alias("pairs"), F.max("n").alias("most"))
+    """Sizes of the indicators; those of two steps are counted without their pairs."""
+    e, c = cut(social.explicit_edges(spark, d)), cut(comm(spark, d))
+    one = lambda r: r.where("origin <> candidate").groupBy("origin").agg(F.count("*").alias("n"))
+    two = lambda x, y: reach(x, y).select(F.col("src").alias("origin"), (F.col("n") - F.col("own")).alias("n")).where("n > 0")
+    both = c.union(c.select("dst", "src")).distinct()
+    parts = {"EXPLICIT_DISTANCE_ONE": one(explicit_one(e, c)), "EXPLICIT_DISTANCE_TWO": two(e, e), "COMMUNICATION_DISTANCE_ONE": one(comm_one(e, c)), "COMMUNICATION_DISTANCE_TWO": two(c, both)}
+    out = None
+    for name, p in parts.items():
+        p = p.withColumn("indicator", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out.groupBy("indicator").agg(F.count("*").alias("origins"), F.sum("n").alias("pairs"), F.max("n").alias("most"))
 
 
 def node_weights(spark, d):
